@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quadrat.llm import bpe, mixing, repeats, simhash, tokens, warc
+from quadrat.llm import bpe, metric_join, mixing, neighbours, repeats, simhash, tokens, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,10 +22,19 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.filter("vec_id % 20 = 0"), k=20)
+
+
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeat_digests(_table(spark, sf_dir, "documents"), width=50)
 
 
+def op5_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_join.near_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoding_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -41,13 +50,16 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_token_files": op2_token_files,
+    "op3_neighbours": op3_neighbours,
     "op4_repeats": op4_repeats,
+    "op5_metric_join": op5_metric_join,
     "op6_bpe": op6_bpe,
     "op7_mixing": op7_mixing,
     "op9_warc": op9_warc,
 }
 
 ORACLES: dict[str, str] = {
+    "op5_metric_join": metric_join.SQL,
     "op7_mixing": mixing.SQL,
     "op9_warc": warc.SQL,
 }

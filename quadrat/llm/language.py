@@ -111,7 +111,7 @@ def fit(train: DataFrame, sample: int = SAMPLE, clusters: int = CLUSTERS, seed:
 
     Document frequencies are counted over all of them. The centroids are fitted on at most
     `sample` rows of each language, those with the smallest seeded hashes. Without such rows
-    the model knows no language and predicts `und`.
+    the model knows no language: it predicts `und` and rejects only texts without letters.
     """
     spark = train.sparkSession
     ship(spark)

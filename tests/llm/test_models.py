@@ -36,7 +36,7 @@ def test_language_of_held_out_texts(spark):
 
 def test_language_without_training_rows(spark):
     df = spark.createDataFrame([(1, "words", None)], "doc_id long, text string, lang string")
-    assert [tuple(r)[2:] for r in language.identify(df).collect()] == [("und", 0.0, True)]
+    assert [tuple(r)[2:] for r in language.identify(df).collect()] == [("und", 0.0, False)]
     assert language.identify(df.limit(0)).count() == 0
 
 

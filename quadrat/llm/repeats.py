@@ -89,12 +89,13 @@ def anchors(text: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.nda
         n = min(CHUNK, starts - at)
         hashes = gram_hashes(text[at : at + n + width - 1], gram)
         low = _slide(hashes, inner, np.minimum)
-        # The place of the minimum: where hashes equal low, the nearest to the window's begin.
         cut = np.concatenate([[0], np.flatnonzero(low[1:] != low[:-1]) + 1, [n]])
         runs = low[cut[:-1]]
-        at_low = np.flatnonzero(_slide(np.concatenate([np.zeros(inner - 1, np.uint64), low, np.zeros(inner - 1, np.uint64)]), inner, np.maximum) == hashes)
-        place = at_low[np.searchsorted(at_low, cut[:-1])]
-        if (hashes[place] != runs).any() or (place - cut[:-1] >= inner).any() or ((cut[1:] - 1) > place).any():
+        # Places that are the smallest of a window, in order, are those of the runs in order,
+        # unless a hash occurs twice within a window.
+        edge = np.zeros(inner - 1, np.uint64)
+        place = np.flatnonzero(_slide(np.concatenate([edge, low, edge]), inner, np.maximum) == hashes)
+        if len(place) != len(runs) or (hashes[place] != runs).any() or (place - cut[:-1] >= inner).any() or (cut[1:] - 1 > place).any():
             place, cut = _places(hashes, low, inner)
             runs = low[cut[:-1]]
         found.append((runs, place + at, cut[:-1] + at, cut[1:] - 1 + at))
@@ -189,7 +190,10 @@ class Block:
         anchor its index in that list, or -1.
         """
         side = width - gram
-        mine = np.flatnonzero(np.isin(self.hash, kept, assume_unique=False)) if len(kept) else np.zeros(0, np.int64)
+        mine = np.zeros(0, np.int64)
+        if len(kept):
+            kept = np.sort(kept)
+            mine = np.flatnonzero(kept[np.minimum(np.searchsorted(kept, self.hash), len(kept) - 1)] == self.hash)
         body = np.frombuffer(b"".join(self.texts), np.uint8)
         begin = np.concatenate([[0], np.cumsum(np.fromiter(map(len, self.texts), np.int64, len(self.texts)))])
         span = side + width
@@ -370,10 +374,13 @@ def _resolve(block: Block, kept: np.ndarray, answers: dict[int, np.ndarray], par
     got = np.where(beaten, np.uint32(0xFFFFFFFF), bits[cls])
     rows, begins = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     back = block.place[mine] - block.first[mine]
+    front = block.place[mine] - block.last[mine]
+    some = np.flatnonzero(got)
+    mine, got, back, front = mine[some], got[some], back[some], front[some]
     for step in range(width - gram + 1):
-        hit = np.flatnonzero((step >= block.place[mine] - block.last[mine]) & (step <= back) & (got >> np.uint32(step) & np.uint32(1)).astype(bool))
-        rows.append(block.row[mine][hit])
-        begins.append(block.place[mine][hit] - step)
+        hit = mine[(step >= front) & (step <= back) & (got >> np.uint32(step) & np.uint32(1)).astype(bool)]
+        rows.append(block.row[hit])
+        begins.append(block.place[hit] - step)
     rows, begins = np.concatenate(rows), np.concatenate(begins)
     order = np.lexsort((begins, rows))
     rows, begins = rows[order], begins[order]

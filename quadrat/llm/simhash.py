@@ -185,9 +185,9 @@ def simhash_components(docs: DataFrame, width: int = 3, radius: int = 2) -> Data
 
     docs needs doc_id and text; other columns are ignored. Texts without words have
     fingerprint zero and link like any other. component_id is the smallest doc_id reachable by
-    links of radius bits or fewer, itself included. Rows with a repeated doc_id link each by
-    their own text; those with a null doc_id get their group's id. An empty table gives an
-    empty result.
+    links of radius bits or fewer, itself included. Rows with a repeated doc_id have each their
+    own fingerprint; where it is the smallest of its fingerprint's rows, that doc_id is one
+    vertex. Rows with a null doc_id get their group's id. An empty table gives an empty result.
     """
     prints = materialize(fingerprints(docs, width), "simhash-prints")
     groups = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-groups")

@@ -49,6 +49,8 @@ class RankQueue:
         self.buckets: dict[int, list[np.ndarray]] = {}
 
     def push(self, ranks: np.ndarray, positions: np.ndarray) -> None:
+        if not len(ranks):
+            return
         order = np.argsort(ranks, kind="stable")
         ranks, positions = ranks[order], positions[order]
         cut = np.flatnonzero(ranks[1:] != ranks[:-1]) + 1

@@ -11,10 +11,11 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain, filterfalse
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +29,12 @@ ROWS = 256
 #: Documents of a file, about.
 FILE_DOCS = 16384
 #: Words whose ids a worker keeps.
-CACHE = 700_000
-BATCH_DOCS = 2000
+CACHE = 600_000
+BATCH_DOCS = 1000
+#: Words of letters that are encoded as one string.
+JOINED = 64
+#: Files at most; beyond FILE_DOCS times that, files grow.
+MAX_FILES = 20_000
 
 _loaded: dict[str, WordEncoder] = {}
 
@@ -37,34 +42,67 @@ _loaded: dict[str, WordEncoder] = {}
 class WordEncoder:
     """Encodes whole texts with a tokenizer that drops white space, and keeps words' ids.
 
-    The tokenizers library encodes each word that is not among those kept; as its
-    pre-tokenizer never joins characters across white space, a text's ids are those of its
-    words in order. Texts with characters that Python but not the tokenizer splits at go to
-    the library whole.
+    As the tokenizer's pre-tokenizer never joins characters across white space, a text's ids
+    are those of its words in order. A word of letters with punctuation behind it is two
+    pre-tokens; its letters are kept in lower case, which the tokenizer gives them anyway. The
+    tokenizers library encodes all that isn't kept: letters in one string for many words, with
+    a digit, which is a pre-token of its own, between them. Texts with characters at which
+    Python but not the tokenizer splits go to the library whole.
     """
 
+    TAIL = ".,;:!?|"
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self.odd = str.maketrans("", "", "\x1c\x1d\x1e\x1f")
+        (self.between,) = self.tokenizer.encode("0", add_special_tokens=False).ids
         self.words: dict[str, bytes] = {}
+        self.letters: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {"": b""}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.dtype).tobytes() for e in encoded]
 
+    def _spell(self, letters: list[str]) -> None:
+        width = np.dtype(self.dtype).itemsize
+        for at in range(0, len(letters), 4096):
+            group = letters[at : at + 4096]
+            joined = ["0".join(group[i : i + JOINED]) for i in range(0, len(group), JOINED)]
+            encoded = self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)
+            ids = np.array([x for e in encoded for x in (*e.ids, self.between)], self.dtype)
+            ends = np.flatnonzero(ids == self.between)
+            raw, start = ids.tobytes(), 0
+            for word, end in zip(group, (ends * width).tolist(), strict=True):
+                self.letters[word] = raw[start:end]
+                start = end + width
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        words = self.words
-        if len(words) > CACHE:
-            words.clear()
+        words, letters, tails = self.words, self.letters, self.tails
+        for kept in (words, letters, tails):
+            if len(kept) > CACHE:
+                kept.clear()
+        tails[""] = b""
         whole = {i for i, t in enumerate(texts) if not t.isprintable() and any(c in t for c in "\x1c\x1d\x1e\x1f")}
-        fresh = dict.fromkeys(chain.from_iterable(filterfalse(words.__contains__, t.split()) for i, t in enumerate(texts) if i not in whole))
-        new = list(fresh)
-        words.update(zip(new, self._library(new), strict=True))
+        split = [[] if i in whole else t.split() for i, t in enumerate(texts)]
+        cut, other = {}, []
+        for word in set(chain.from_iterable(split)).difference(words):
+            core = word.rstrip(self.TAIL)
+            small = core.lower()
+            # A capital whose small form has a mark of its own, or depends on its place, is not cut.
+            if core.isalpha() and small.isalpha() and "Σ" not in core:
+                cut[word] = small, word[len(core) :]
+            else:
+                other.append(word)
+        self._spell(list({c for c, _ in cut.values()}.difference(letters)))
+        new = list({t for _, t in cut.values()}.difference(tails))
+        tails.update(zip(new, self._library(new), strict=True))
+        words.update((w, letters[c] + tails[t]) for w, (c, t) in cut.items())
+        words.update(zip(other, self._library(other), strict=True))
         get = words.__getitem__
-        return [self._library([t])[0] if i in whole else b"".join(map(get, t.split())) for i, t in enumerate(texts)]
+        return [self._library([t])[0] if i in whole else b"".join(map(get, s)) for i, (t, s) in enumerate(zip(texts, split, strict=True))]
 
 
 def encoder(path: str) -> WordEncoder:
@@ -73,13 +111,14 @@ def encoder(path: str) -> WordEncoder:
     return _loaded[path]
 
 
-def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int | None) -> DataFrame:
-    """doc_id, n_tokens, ids of every row's whole text, with end_id behind it.
+def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int | None, bounds: list[int] | None = None) -> DataFrame:
+    """part, doc_id, n_tokens, width, ids of every row's whole text, with end_id behind it.
 
-    ids are little-endian unsigned integers of 16 bits, or 32 if the vocabulary is larger. A
+    part is how many of the ascending bounds are no larger than doc_id. ids are little-endian unsigned integers of 16 bits, or 32 if the vocabulary is larger. A
     null text is an empty one. Rows stay as they are.
     """
     ship(docs.sparkSession)
+    edges = np.array(bounds or [], np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path)
@@ -89,9 +128,11 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int | None) -
             for at in range(0, batch.num_rows, BATCH_DOCS):
                 part = batch.slice(at, BATCH_DOCS)
                 ids = [x + end for x in enc.encode([t or "" for t in part.column(1).to_pylist()])]
-                yield pa.record_batch({"doc_id": part.column(0), "n_tokens": pa.array([len(x) // width for x in ids], pa.int64()), "width": pa.array([width] * len(ids), pa.int32()), "ids": pa.array(ids, pa.binary())})
+                keys = pc.fill_null(part.column(0), -(1 << 63)).to_numpy(zero_copy_only=False)
+                place = np.searchsorted(edges, keys, side="right").astype(np.int32)
+                yield pa.record_batch({"part": pa.array(place), "doc_id": part.column(0), "n_tokens": pa.array([len(x) // width for x in ids], pa.int64()), "width": pa.array([width] * len(ids), pa.int32()), "ids": pa.array(ids, pa.binary())})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, width int, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "part int, doc_id long, n_tokens long, width int, ids binary")
 
 
 def _sequence_batches(parts: Iterator[np.ndarray], dtype, sequence: int) -> Iterator[pa.RecordBatch]:
@@ -118,28 +159,36 @@ def _sequence_batches(parts: Iterator[np.ndarray], dtype, sequence: int) -> Iter
         yield batch(np.concatenate(held))
 
 
-def write_token_files(encoded: DataFrame, folder: str, sequence: int = SEQUENCE, file_docs: int = FILE_DOCS) -> DataFrame:
-    """Write encoded (doc_id, n_tokens, width, ids) as token files under folder; their list.
+def file_bounds(docs: DataFrame, file_docs: int = FILE_DOCS) -> list[int]:
+    """doc_ids at which files begin, but the first; read from the doc_id column alone."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    files = min(MAX_FILES, -(-ids.count() // file_docs))
+    if files < 2:
+        return []
+    return sorted({int(x) for x in ids.approxQuantile("doc_id", [i / files for i in range(1, files)], 1 / (8 * files))})
+
+
+def write_token_files(encoded: DataFrame, parts: int, folder: str, sequence: int = SEQUENCE) -> DataFrame:
+    """Write encoded (part, doc_id, n_tokens, width, ids) as token files under folder; their list.
 
     A row for each file: part (ascending with doc_id), path, n_docs, n_tokens. Each task writes
     one pair of files under a name of its own and lists it when whole, so a task that runs
-    again leaves no trace in the list. encoded should be a table: it is sampled for the ranges.
+    again leaves no trace in the list.
     """
-    files = max(1, -(-encoded.count() // file_docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batches = (b for b in batches if b.num_rows)
         first = next(batches, None)
         if first is None:
             return
-        dtype = np.uint16 if first.column(2)[0].as_py() == 2 else np.uint32
+        dtype = np.uint16 if first.column(3)[0].as_py() == 2 else np.uint32
         name = f"{folder}/{TaskContext.get().partitionId():07d}-{uuid.uuid4().hex}"
         index: list[tuple] = []
 
         def parts() -> Iterator[np.ndarray]:
             for b in chain([first], batches):
-                index.append((b.column(0), b.column(1)))
-                for x in b.column(3):
+                index.append((b.column(1), b.column(2)))
+                for x in b.column(4):
                     yield np.frombuffer(x.as_buffer(), dtype)
 
         def write(out: pa.NativeFile) -> None:
@@ -161,7 +210,7 @@ def write_token_files(encoded: DataFrame, folder: str, sequence: int = SEQUENCE,
         write_file(f"{name}.index.arrow", write_index)
         yield pa.record_batch({"part": [TaskContext.get().partitionId()], "path": [name], "n_docs": [len(ids)], "n_tokens": [int(total[-1])]})
 
-    ordered = encoded.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "ids")
+    ordered = encoded.repartitionById(parts, "part").sortWithinPartitions("doc_id", "ids")
     return materialize(ordered.mapInArrow(run, "part long, path string, n_docs long, n_tokens long"), "token-files")
 
 
@@ -225,8 +274,9 @@ def token_table(docs: DataFrame, tokenizer_path: str, end_id: int | None = 2, se
     empty texts have the end id only. An empty table has no files and gives an empty result.
     """
     spark = docs.sparkSession
-    encoded = materialize(encode_documents(docs, tokenizer_path, end_id), "token-ids")
-    return read_documents(write_token_files(encoded, fresh_path(spark, "tokens"), sequence))
+    bounds = file_bounds(docs)
+    encoded = encode_documents(docs, tokenizer_path, end_id, bounds)
+    return read_documents(write_token_files(encoded, len(bounds) + 1, fresh_path(spark, "tokens"), sequence))
 
 
 def token_digests(docs: DataFrame, tokenizer_path: str, end_id: int = 2, sequence: int = SEQUENCE) -> DataFrame:

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -7,7 +8,7 @@ from tokenizers import Tokenizer
 from quadrat.llm import tokens
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
-TEXTS = ["", None, "Hello wörld, it's 42!", "a\x1cb \x1f c", "x y　z\x85w", "é é ẛ̣", "<|endoftext|> <|startoftext|>x", "  \n\t ", "word " * 5000, "ΑΣ ΑΣΑ", "same", "same"]
+TEXTS = ["", None, "Hello wörld, it's 42!", "a\x1cb \x1f c", "x y　z\x85w", "é é ẛ̣", "<|endoftext|> <|startoftext|>x", "  \n\t ", "word " * 5000, "ΑΣ ΑΣΑ", "same", "same", "İx Kelvin, Å! ﬁne. ПРИВЕТ? don't. o'er.'s 日本。 ...", "a.b, (c) [d]; e—f… ¿qué? n°5."]
 
 
 def expected(rows):
@@ -28,11 +29,21 @@ def test_read_back_is_what_the_library_gives(spark):
         assert sorted(tuple(r) for r in got.collect()) == expected(rows)
 
 
+def test_many_words_as_the_library_gives_them():
+    r, enc, lib = random.Random(3), tokens.WordEncoder(PATH), Tokenizer.from_file(PATH)
+    letters = "abcdeéüñßÆΣσİıǅﬁ日한ब्द'’.,!|0٣½_-"
+    texts = [" ".join("".join(r.choices(letters, k=r.randint(1, 9))) for _ in range(40)) for _ in range(150)]
+    texts += [" ".join("".join(r.choices("etaoinshr", k=r.randint(2, 9))) + r.choice(["", "", ".", ",", "!?"]) for _ in range(300)) for _ in range(20)]
+    for text, ids in zip(texts, enc.encode(texts), strict=True):
+        assert np.frombuffer(ids, enc.dtype).tolist() == lib.encode(text, add_special_tokens=False).ids, text
+
+
 def test_files_have_equal_sequences(spark, tmp_path):
     df = spark.createDataFrame([(i, "some words here " * i) for i in range(50)], "doc_id long, text string")
-    encoded = tokens.materialize(tokens.encode_documents(df, PATH, 2), "t")
-    files = tokens.write_token_files(encoded, f"file://{tmp_path}", sequence=32, file_docs=20).orderBy("part").collect()
-    assert len(files) == 3
+    bounds = tokens.file_bounds(df, 20)
+    encoded = tokens.encode_documents(df, PATH, 2, bounds)
+    files = tokens.write_token_files(encoded, 3, f"file://{tmp_path}", sequence=32).orderBy("part").collect()
+    assert len(files) == 3 and len(bounds) == 2 and sum(f.n_docs for f in files) == 50
     for f in files:
         file = tokens.TokenFile(f.path)
         ids, masks = zip(*(file.sequence(i) for i in range(-(-f.n_tokens // 32))), strict=True)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -51,6 +52,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 def _clean(spark: SparkSession, path: str) -> None:
     """Delete what an application has put into the shared folder; nothing if it is gone already."""
+    if path.startswith(("file:", "/")):  # also where the session was stopped before
+        shutil.rmtree("/" + path.removeprefix("file:").lstrip("/"), ignore_errors=True)
+        return
     with contextlib.suppress(Exception):  # at exit: the session may have been stopped
         jvm = spark.sparkContext._jvm
         place = jvm.org.apache.hadoop.fs.Path(path)

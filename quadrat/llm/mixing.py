@@ -88,18 +88,19 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs, each as often as the mix repeats it (also not at all)."""
-    plan = mix(docs, **how).groupBy("doc_id", "source", "size").agg(F.sum("repeats").alias("repeats"), F.count("*").alias("rows"))
-    # Exchangeable rows share their repeats: the first of them get one more where they don't divide.
-    plan = plan.select(F.col("doc_id").alias("pd"), F.col("source").alias("ps"), F.col("size").alias("pz"), "repeats", "rows")
-    names = [F.col(f"d.`{c}`") for c in docs.columns]
+    plan = mix(docs, **how).groupBy("doc_id", "source", "size").agg(F.sum("repeats").alias("repeats"), F.count("*").alias("rows")).filter("repeats > 0")
+    plan = materialize(plan.select(F.col("doc_id").alias("pd"), F.col("source").alias("ps"), F.col("size").alias("pz"), "repeats", "rows"), "mix-plan")
     sized = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("z"))
-    one = plan.filter("rows = 1 and repeats > 0")
-    single = sized.join(one, F.col("d.doc_id").eqNullSafe(one.pd) & F.col("d.source").eqNullSafe(one.ps) & (sized.z == one.pz)).select("d", "repeats")
-    many = plan.filter("rows > 1 and repeats > 0")
-    shared = sized.join(many, F.col("d.doc_id").eqNullSafe(many.pd) & F.col("d.source").eqNullSafe(many.ps) & (sized.z == many.pz))
-    turn = F.row_number().over(Window.partitionBy("pd", "ps", "pz").orderBy(F.col("d.text")))
-    shared = shared.withColumn("turn", turn).select("d", (F.floor(F.col("repeats") / F.col("rows")) + (F.col("turn") <= F.col("repeats") % F.col("rows")).cast("int")).alias("repeats"))
-    return single.unionByName(shared).filter("repeats > 0").select("d", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int"))).alias("nth")).select(*names)
+    same = F.col("d.doc_id").eqNullSafe(F.col("pd")) & F.col("d.source").eqNullSafe(F.col("ps")) & (F.col("z") == F.col("pz"))
+    # Exchangeable rows share their repeats: the first of them get one more where they don't
+    # divide. Where there are none, that branch would shuffle all texts for nothing.
+    many = plan.filter("rows > 1")
+    single = sized.join(plan.filter("rows = 1"), same).select("d", "repeats")
+    if not many.isEmpty():
+        turn = F.row_number().over(Window.partitionBy("pd", "ps", "pz").orderBy(F.col("d.text")))
+        each = F.floor(F.col("repeats") / F.col("rows")) + (F.col("turn") <= F.col("repeats") % F.col("rows")).cast("int")
+        single = single.unionByName(sized.join(many, same).withColumn("turn", turn).select("d", each.alias("repeats")))
+    return single.filter("repeats > 0").select("d", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int"))).alias("nth")).select(*[F.col(f"d.`{c}`") for c in docs.columns])
 
 
 SQL = rf"""

@@ -138,7 +138,7 @@ def fit_machine(x: np.ndarray, y: np.ndarray, rank: int = RANK, epochs: int = EP
 
 
 def _inputs(docs: DataFrame) -> DataFrame:
-    size = F.col("n_chars").cast("double") if "n_chars" in docs.columns else F.lit(None).cast("double")
+    size = F.col("n_chars").try_cast("double") if "n_chars" in docs.columns else F.lit(None).cast("double")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", size.alias("n_chars"))
 
 
@@ -186,8 +186,8 @@ def score(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 x = np.stack([features.row(t, c) for t, c in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)])
                 got = machine.scores(x)
                 yield pa.record_batch({"doc_id": part.column(0), "score": pa.array(got), "predicted": pa.array((got >= threshold).astype(np.int32))})

@@ -24,12 +24,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quadrat.llm.memory import release
 from quadrat.runtime import ship
 
 #: Entries of a cache of encoded pieces; a fuller one starts anew.
-CACHE = 700_000
+CACHE = 300_000
 #: Characters of text that are encoded at a time, whole texts at least.
-BATCH = 8_000_000
+BATCH = 2_000_000
 _SPACE = r"\t-\r \x85\xa0  -     　"
 _ODD = re.compile(r" (?=\s|$)|[\x1c-\x1f]")
 _CUT = re.compile(r" (?=[^\s])")
@@ -94,9 +95,15 @@ class Bpe:
         self.size = max(ranks.values(), default=0) + 1
         self.bytes = np.array([ranks.get(bytes([i]), -1) for i in range(256)], np.int64)
         # The rank of a pair by its two ids is that of the joined bytes, however they are cut.
-        pairs = {ranks[t[:i]] << 32 | ranks[t[i:]]: r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
-        self.keys = np.fromiter(sorted(pairs), np.int64, len(pairs))
-        self.values = np.array([pairs[k] for k in self.keys.tolist()] + [-1], np.int64)
+        keys, values, get = array("q"), array("i"), ranks.get
+        for t, r in ranks.items():
+            for i in range(1, len(t)):
+                if (left := get(t[:i])) is not None and (right := get(t[i:])) is not None:
+                    keys.append(left << 32 | right)
+                    values.append(r)
+        order = np.argsort(np.frombuffer(keys, np.int64), kind="stable")
+        self.keys = np.frombuffer(keys, np.int64)[order]
+        self.values = np.append(np.frombuffer(values, np.int32)[order], -1).astype(np.int64)
         self.parts: list[bytes] = [b""] * self.size
         for t, r in ranks.items():
             self.parts[r] = t
@@ -252,8 +259,20 @@ class Bpe:
         get_word = words.__getitem__
         return [b"".join(map(get, head)) + b"".join(map(get_word, self._segments(text)[1:])) for head, text in zip(heads, texts, strict=True)]
 
-    def batches(self, batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-        """The slices of a batch (doc_id, text) of about BATCH characters, with their ids."""
+    def batches(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+        """Slices of batches (doc_id, text) of about BATCH characters, with their ids.
+
+        What is kept goes in the end, so that a worker's memory is free for other tasks.
+        """
+        try:
+            for batch in batches:
+                yield from self._slices(batch)
+        finally:
+            self.words.clear()
+            self.known.clear()
+            release()
+
+    def _slices(self, batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
         sizes = np.cumsum(pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
         at = 0
         while at < batch.num_rows:
@@ -286,14 +305,13 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(ranks_path, pattern)
-        for batch in batches:
-            for part, ids in bpe.batches(batch):
-                yield pa.record_batch({
-                    "doc_id": part.column(0),
-                    "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()),
-                    "ids": pa.array(ids, pa.binary()),
-                    "decoded": pa.array([bpe.decode(x) for x in ids], pa.binary()),
-                })
+        for part, ids in bpe.batches(batches):
+            yield pa.record_batch({
+                "doc_id": part.column(0),
+                "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()),
+                "ids": pa.array(ids, pa.binary()),
+                "decoded": pa.array([bpe.decode(x) for x in ids], pa.binary()),
+            })
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded binary")
 
@@ -308,13 +326,12 @@ def encoding_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(ranks_path, pattern)
         digest = lambda x: hashlib.sha256(x).hexdigest()
-        for batch in batches:
-            for part, ids in bpe.batches(batch):
-                yield pa.record_batch({
-                    "doc_id": part.column(0),
-                    "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()),
-                    "ids_sha256": pa.array(map(digest, ids), pa.string()),
-                    "decoded_sha256": pa.array([digest(bpe.decode(x)) for x in ids], pa.string()),
-                })
+        for part, ids in bpe.batches(batches):
+            yield pa.record_batch({
+                "doc_id": part.column(0),
+                "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()),
+                "ids_sha256": pa.array(map(digest, ids), pa.string()),
+                "decoded_sha256": pa.array([digest(bpe.decode(x)) for x in ids], pa.string()),
+            })
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

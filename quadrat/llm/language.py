@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadrat.runtime import materialize, ship
+from quadrat.llm.memory import release
+from quadrat.runtime import ship
 
 DIMENSIONS = 4096
 GRAMS = (2, 3, 4)
@@ -28,6 +29,8 @@ CLUSTERS = 3
 MAX_DISTANCE = 0.95
 SEED = 17
 UNKNOWN = "und"
+#: Texts that are compared with the centroids at a time.
+ROWS = 256
 #: Bytes of a text that are counted at a time.
 CHUNK = 1 << 20
 
@@ -72,8 +75,11 @@ class Model:
     max_distance: float = MAX_DISTANCE
 
     def vectors(self, texts: list[str]) -> np.ndarray:
-        x = np.log1p(np.stack([counts(t) for t in texts])) * self.idf
-        return (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+        x = np.empty((len(texts), DIMENSIONS), np.float32)
+        for row, text in zip(x, texts, strict=True):
+            weighed = np.log1p(counts(text)) * self.idf
+            row[:] = weighed / max(np.linalg.norm(weighed), 1e-12)
+        return x
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score and rejection of each text; score is the cosine of the nearest centroid."""
@@ -167,8 +173,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
                 names, score, rejected = model.predict(part.column(1).to_pylist())
                 yield pa.record_batch({"doc_id": part.column(0), "lang_pred": pa.array(names, pa.string()), "score": pa.array(score), "rejected": pa.array(rejected)})
 
@@ -189,8 +195,9 @@ def keep_identified(docs: DataFrame, **how) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
                 yield part.filter(pa.array(~model.predict(part.column("text").to_pylist())[2]))
+        release()
 
     return docs.mapInArrow(run, docs.schema)

@@ -33,13 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrat.llm.files import open_file, write_file
+from quadrat.llm.memory import release
 from quadrat.runtime import fresh_path, materialize, ship
 
 WIDTH = 50
 GRAM = 24
-BLOCK_BYTES = 6_000_000
+BLOCK_BYTES = 4_000_000
 #: Bytes of text for each part that anchors are dealt to.
-PART_BYTES = 24_000_000
+PART_BYTES = 12_000_000
 #: Text bytes that are hashed at a time.
 CHUNK = 1 << 20
 
@@ -238,6 +239,7 @@ def _anchor_requests(parts: int, width: int, gram: int):
                 cut = np.searchsorted(part[order], np.arange(parts + 1))
                 used = np.flatnonzero(np.diff(cut))
                 h, many = h[order], many[order]
+                release()
                 yield pd.DataFrame({"part": used.astype(np.int32), "block": name, "hashes": [h[cut[p] : cut[p + 1]].tobytes() for p in used], "many": [np.packbits(many[cut[p] : cut[p + 1]]).tobytes() for p in used]})
 
     return run
@@ -277,6 +279,7 @@ def _string_requests(parts: int, width: int, gram: int):
         used = np.flatnonzero(np.diff(cut))
         pack = lambda x: pa.compress(x, "zstd", asbytes=True)
         pick = [order[cut[p] : cut[p + 1]] for p in used]
+        release()
         return pd.DataFrame({"part": used.astype(np.int32), "block": name, "rows": [len(x) for x in pick], "strings": [pack(raw[x].T.tobytes()) for x in pick], "docs": [doc[x].tobytes() for x in pick]})
 
     return run
@@ -335,7 +338,7 @@ def _answer_strings(width: int, gram: int):
         right, shared_right = _classes(text[:, side:], start, docs)
         left, shared_left = _classes(text[:, :side][:, ::-1], start, docs)
         answer = np.zeros(len(raw), np.uint32)
-        rank = np.empty(len(raw), np.int64)
+        rank, cls, key, who = np.empty(len(raw), np.int64), None, None, None
         for back in range(side + 1):
             # Windows that begin `back` bytes before the anchor.
             mine = (high <= back) & (back <= low)
@@ -353,6 +356,8 @@ def _answer_strings(width: int, gram: int):
             hit = rows[by][least < who]
             answer[hit] |= np.uint32(1 << back)
         cut = np.concatenate([[0], np.cumsum(pdf["rows"])])
+        del raws, raw, text, key, who, cls, rank, right, left, shared_right, shared_left
+        release()
         return pd.DataFrame({"block": pdf["block"], "part": pdf["part"], "answer": [answer[cut[i] : cut[i + 1]].tobytes() for i in range(len(pdf))]})
 
     return run
@@ -424,8 +429,11 @@ def removed_spans(docs: DataFrame, finish, schema: str, width: int = WIDTH, gram
         block = Block(pdf["block"].iloc[0], width, gram)
         windows = pdf[pdf["kind"] == 1]
         answers = {int(p): np.frombuffer(a, np.uint32) for p, a in zip(windows["part"], windows["answer"], strict=True)}
-        begins = _resolve(block, _kept(pdf[pdf["kind"] == 0]), answers, parts, width, gram)
-        return finish(block.table, block.texts, [spans(b, width) for b in begins])
+        gone = [spans(b, width) for b in _resolve(block, _kept(pdf[pdf["kind"] == 0]), answers, parts, width, gram)]
+        table, texts = block.table, block.texts
+        del block, pdf, windows, answers
+        release()
+        return finish(table, texts, gone)
 
     done = every.groupBy("block").applyInArrow(last, schema)
     apart = plain.filter("doc_id is null")

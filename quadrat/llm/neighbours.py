@@ -70,6 +70,8 @@ class Shard:
         order = np.argsort(ids, kind="stable")
         self.ids, self.x, self.pivots = ids[order], np.ascontiguousarray(x[order]), pivots
         self.prefix = min(prefix, len(pivots))
+        # Twice the most that a product added up in two orders differs by, for |q| = 1.
+        self.slack = 4 * x.shape[1] * np.finfo(np.float64).eps * np.sqrt((self.x * self.x).sum(1).max(initial=0.0))
         perm = permutations(self.x, pivots, self.prefix)
         flat = perm.ravel()
         by = np.argsort(flat, kind="stable")
@@ -88,14 +90,15 @@ class Shard:
                 for at, pivot in enumerate(perm):
                     who, place = self.files[pivot]
                     gain[who] += self.prefix - np.maximum(place, at)
-                near = np.argpartition(-gain, take - 1)[:take]
-                near.sort()
+                # All that tie with the last: copies stay together.
+                near = np.flatnonzero(gain >= np.partition(gain, n - take)[n - take])
             else:
                 near = np.arange(n)
             near = near[self.ids[near] != query_ids[i]]
             score = self.x[near] @ q[i]
-            if len(near) > 2 * k:
-                near = near[np.argpartition(-score, 2 * k)[: 2 * k + 1]]
+            if len(near) > k:
+                kth = np.partition(score, len(near) - k)[len(near) - k]
+                near = near[score >= kth - self.slack * np.sqrt(q[i] @ q[i])]
             # Added up in order, so that a score doesn't depend on the machine.
             score = np.cumsum(self.x[near] * q[i], axis=1)[:, -1]
             best = np.lexsort((self.ids[near], -score))[:k]

@@ -95,6 +95,17 @@ def test_recall(spark):
     assert hits / (60 * 20) >= 0.9
 
 
+def test_copies_go_by_the_smaller_id(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(3000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[rng.permutation(3000)[:1000]] = x[0]
+    df = table(spark, x, [0] * len(x), odd=False)
+    for least in (50, 5000):
+        got = neighbours.nearest(df, df.filter("vec_id = 0"), 20, least=least).orderBy("rank").collect()
+        assert [r.vec_id for r in got] == [i * 5 for i in range(1, 3000) if (x[i] == x[0]).all()][:20]
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert metric_join.near_vectors(df).count() == 0

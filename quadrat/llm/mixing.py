@@ -13,6 +13,8 @@ MAX_EPOCHS = 2
 SEED = "quadrat-mix"
 #: Slices of a source, by hash, that are summed and cut apart.
 SLICES = 4096
+#: Where a source misses its target by a larger share, more of its documents are tried.
+NEAR = 0.01
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -48,13 +50,43 @@ def source_targets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return weighed.select("source", "source_size", F.least("cap", F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
+def _nearest(row: DataFrame) -> DataFrame:
+    """s, target, missing, least, pick, miss of each source with documents that aren't taken.
+
+    least is the smallest of them, pick the one that best fills what is missing, miss what is off then.
+    """
+    missing = row.groupBy("source").agg((F.first("part") - F.sum(F.when(F.col("fits"), F.col("size")).otherwise(0))).alias("missing"))
+    missing = missing.select(F.col("source").alias("s"), "missing")
+    off = F.abs(F.col("size") - F.col("missing"))
+    rest = row.filter("not fits and size > 0 and part > 0").join(missing, row.source.eqNullSafe(missing.s))
+    pick = F.min(F.when(off < F.col("missing"), F.struct(off.alias("off"), "h", "doc_id", "size", "nth")))
+    rest = rest.groupBy("s").agg(F.first("target").alias("target"), F.first("missing").alias("missing"), F.min("size").alias("least"), pick.alias("pick"))
+    return materialize(rest.withColumn("miss", F.coalesce("pick.off", "missing")), "mix-nearest")
+
+
+def _filled(row: DataFrame, short: DataFrame) -> DataFrame:
+    """row after one more pass, in hash order, over the documents no larger than what is missing."""
+    short = short.select("s", "missing")
+    rest = row.filter("not fits and size > 0 and part > 0").join(short, row.source.eqNullSafe(short.s)).filter("size <= missing")
+    # At most SLICES rows of a source.
+    upto = rest.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
+    upto = upto.select(F.col("source").alias("t"), F.col("slice").alias("b"), (F.sum("slice_size").over(Window.partitionBy("source").orderBy("slice")) - F.col("slice_size")).alias("before"))
+    inside = Window.partitionBy("source", "slice").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
+    rest = rest.join(upto, rest.source.eqNullSafe(upto.t) & (rest.slice == upto.b)).withColumn("until", F.col("before") + F.sum("size").over(inside))
+    more = rest.filter("until <= missing").select(F.col("source").alias("ms"), F.col("h").alias("mh"), F.col("nth").alias("mn"))
+    both = row.join(more, row.source.eqNullSafe(more.ms) & (row.h == more.mh) & (row.nth == more.mn), "left")
+    return both.withColumn("fits", F.col("fits") | F.col("mh").isNotNull()).select(*row.columns)
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
     """doc_id, size, source_size, target, repeats, taken of every row of docs.
 
     docs needs doc_id, text and source; other columns are ignored. A source is repeated whole
     as often as its target holds it; the rest is a fractional repetition: its documents in
     seeded hash order as long as they fit, and then the one whose size is nearest to what is
-    still missing, if that brings the sum nearer. taken is repeats * size, so it is at most
+    still missing, if that brings the sum nearer. Where this misses the target by more than
+    NEAR of it, the documents that are no larger than what is missing come first, in the same
+    way, as often as there are any: a long document doesn't end a source. taken is repeats * size, so it is at most
     max_epochs * size. A null text has size 0. Repeated rows count each; rows equal in doc_id
     and size are exchangeable. A null source is a source of its own. An empty table gives an
     empty result. The same rows give the same mix in any order or partitioning.
@@ -73,13 +105,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     inside = Window.partitionBy("source", "slice").orderBy("h", "doc_id", "size")
     row = row.withColumn("nth", F.row_number().over(inside)).withColumn("until", F.col("before") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     row = row.withColumn("fits", (F.col("until") <= F.col("part")) & (F.col("part") > 0))
-    row = materialize(row.select("doc_id", "source", "size", "source_size", "target", "whole", "part", "h", "nth", "fits"), "mix-rows")
-    # What still fits is missing; one more document may fill it.
-    missing = row.groupBy("source").agg((F.first("part") - F.sum(F.when(F.col("fits"), F.col("size")).otherwise(0))).alias("missing"))
-    missing = missing.select(F.col("source").alias("s"), "missing")
-    off = F.abs(F.col("size") - F.col("missing"))
-    near = row.filter("not fits and size > 0 and part > 0").join(missing, row.source.eqNullSafe(missing.s)).filter(off < F.col("missing"))
-    near = near.groupBy("s").agg(F.min(F.struct(off.alias("off"), "h", "doc_id", "size", "nth")).alias("pick")).select("s", "pick.h", "pick.nth")
+    row = materialize(row.select("doc_id", "source", "size", "source_size", "target", "whole", "part", "slice", "h", "nth", "fits"), "mix-rows")
+    near = _nearest(row)
+    while not (short := near.filter(f"miss > {NEAR} * target and least <= missing")).isEmpty():
+        row = materialize(_filled(row, short), "mix-rows")
+        near = _nearest(row)
+    near = near.filter("pick is not null").select("s", "pick.h", "pick.nth")
     near = near.select(F.col("s").alias("ps"), F.col("h").alias("ph"), F.col("nth").alias("pn"))
     done = row.join(near, row.source.eqNullSafe(near.ps) & (row.h == near.ph) & (row.nth == near.pn), "left")
     repeats = F.col("whole") + (F.col("fits") | F.col("ph").isNotNull()).cast("int")

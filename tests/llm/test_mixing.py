@@ -51,6 +51,18 @@ def test_targets_and_sums(spark, seed):
     assert sum(len((r.text or "").split()) for r in mixed.collect()) == sum(r.taken for r in got)
 
 
+def test_a_very_long_document_does_not_end_its_source(spark):
+    worst = 0
+    for seed in (16, 19, 20):  # the long document comes early
+        data = [(i, "a", "w " * 10) for i in range(300)] + [(1000, "a", "w " * 4000)] + [(2000 + i, "b", "w " * 10) for i in range(600)]
+        df = spark.createDataFrame(data, "doc_id long, source string, text string")
+        got = mixing.mix(df, weights=(1, 1), share=1.2, seed=f"s{seed}").collect()
+        for s in "ab":
+            mine = [r for r in got if r.source == s]
+            worst = max(worst, abs(sum(r.taken for r in mine) / mine[0].target - 1))
+    assert worst <= 0.01
+
+
 def test_empty(spark):
     assert mixing.mix(spark.createDataFrame([], "doc_id long, source string, text string")).count() == 0
 

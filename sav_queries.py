@@ -24,7 +24,9 @@ from quadrat.runtime import shared_dir
 from sav_encoder import Column, write_sav
 
 EPOCH = 12_219_379_200
+#: Widths of the columns that texts are laid out in, over as many rows as they need.
 TEXT_BYTES = 32_000
+LATIN_BYTES = 4_000
 WIDTHS = (255, 256, 503, 504, 505, 757, 1000, 1009)
 
 #: Files that other code has written aren't used.
@@ -45,6 +47,37 @@ def _table(sf_dir: str, name: str) -> pa.Table:
     return pq.read_table(f"{sf_dir}/{name}.parquet")
 
 
+def laid_out(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Row of the text, part, and piece: texts as pieces of at most width bytes.
+
+    Every piece but a text's last ends in a mark, as blanks at the end of a string are lost;
+    no character of UTF-8 is cut.
+    """
+    row, part, pieces = [], [], []
+    for i, raw in enumerate(texts):
+        raw, at, k = raw.rstrip(b" \0"), 0, 0
+        while len(raw) - at > width:
+            to = at + width - 1
+            while raw[to] & 0xC0 == 0x80 and to > at + width - 4:
+                to -= 1
+            pieces.append(raw[at:to] + b"|")
+            row.append(i)
+            part.append(k)
+            at, k = to, k + 1
+        pieces.append(raw[at:])
+        row.append(i)
+        part.append(k)
+    return np.array(row, np.int64), np.array(part, np.int64), pieces
+
+
+def joined(df: DataFrame, *keys: str) -> DataFrame:
+    """doc_id, text and the other keys of texts laid out over rows."""
+    pieces = F.sort_array(F.collect_list(F.struct("part", "text")))
+    last = F.size(pieces) - 1
+    text = F.concat_ws("", F.transform(pieces, lambda p, i: F.when(i < last, p["text"].substr(F.lit(1), F.length(p["text"]) - 1)).otherwise(p["text"])))
+    return df.groupBy("nth", *keys).agg(text.alias("text")).select("doc_id", "text", *[k for k in keys if k != "doc_id"])
+
+
 def columns_of(sf_dir: str, name: str) -> tuple[list[Column], dict]:
     """A driver table as columns of a system file, and how the file is to be written."""
     t = _table(sf_dir, "documents" if name in ("texts", "widths", "latin") else name)
@@ -80,14 +113,18 @@ def columns_of(sf_dir: str, name: str) -> tuple[list[Column], dict]:
             num("user_id", "user_id"), Column("event_type", _text(t, "event_type"), 16), num("value", "value", ("F", 12, 2)),
         ], {}
     if name == "texts":
-        texts = [x.encode()[:TEXT_BYTES].decode(errors="ignore").rstrip(" \0") for x in _text(t, "text")]
-        return [num("doc_id", "doc_id"), Column("text", texts, TEXT_BYTES), num("n_chars", "n_chars")], {}
+        row, part, pieces = laid_out([x.encode() for x in _text(t, "text")], TEXT_BYTES)
+        ids, sizes = (t[c].to_numpy()[row].astype(float) for c in ("doc_id", "n_chars"))
+        whole = ("F", 10, 0)
+        return [Column("doc_id", ids, format=whole), Column("text", pieces, TEXT_BYTES), Column("n_chars", sizes, format=whole), Column("nth", row, format=whole), Column("part", part, format=whole)], {}
     if name == "widths":
         ids = t["doc_id"].to_pylist()
         return [num("doc_id", "doc_id"), *(Column(f"w{w}", [("ab" * w)[: w - i % 7] for i in ids], w) for w in WIDTHS), num("last", "n_chars")], {}
     if name == "latin":
-        cut = [x[:60].encode("cp1252", "ignore").decode("cp1252").rstrip(" \0") for x in _text(t, "text")]
-        return [num("doc_id", "doc_id"), Column("text", cut, 64)], {"charset": "cp1252", "charset_name": None, "code_page": 1252}
+        row, part, pieces = laid_out([x.encode("cp1252", "ignore") for x in _text(t, "text")], LATIN_BYTES)
+        whole = ("F", 10, 0)
+        columns = [Column("doc_id", t["doc_id"].to_numpy()[row].astype(float), format=whole), Column("text", pieces, LATIN_BYTES), Column("nth", row, format=whole), Column("part", part, format=whole)]
+        return columns, {"charset": "cp1252", "charset_name": None, "code_page": 1252}
     if name == "embeddings":
         wide = np.stack(t["embedding"].to_pylist()).astype(float)
         return [num("vec_id", "vec_id"), *(Column(f"e{k}", wide[:, k], format=("F", 12, 6)) for k in range(wide.shape[1]))], {}
@@ -260,9 +297,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "date_cast": _of("orders", lambda df: _longs(df, "o_orderkey"), columns=["o_orderkey", "o_orderdate"]),
     "datetime_cast": _of("events", lambda df: _longs(df, "event_id"), "bytecode", columns=["event_id", "ts"]),
     "duration_seconds": _of("events", lambda df: _longs(df, "event_id").select("event_id", (F.extract(F.lit("HOUR"), "time_of_day") * 3600 + F.extract(F.lit("MINUTE"), "time_of_day") * 60 + F.extract(F.lit("SECOND"), "time_of_day")).cast("long").alias("seconds")), columns=["event_id", "time_of_day"]),
-    "vls_documents": _of("texts", lambda df: _longs(df, "doc_id", "n_chars"), "zlib", columns=["doc_id", "text", "n_chars"]),
+    "vls_documents": _of("texts", lambda df: _longs(joined(df, "doc_id", "n_chars"), "doc_id", "n_chars"), "zlib"),
     "vls_boundary_widths": _of("widths", lambda df: _longs(df, "doc_id", "last"), "bytecode"),
-    "charset_1252": _of("latin", lambda df: _longs(df, "doc_id")),
+    "charset_1252": _of("latin", lambda df: _longs(joined(df, "doc_id"), "doc_id")),
     "wide_file": _of("embeddings", _unpivot),
     "pricing_summary": lambda spark, sf_dir: pricing_summary(spark, sf_dir, "none"),
     "pricing_summary_bytecode": lambda spark, sf_dir: pricing_summary(spark, sf_dir, "bytecode"),

@@ -14,12 +14,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 _PACKAGE = os.path.dirname(os.path.abspath(__file__))
 _shipped: set[str] = set()
+#: Bytes of an Arrow batch that goes to a Python worker, where the session doesn't say.
+BATCH_BYTES = 4 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 _folders: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable by the executors' Python workers, once an application."""
+    """Make this package importable by the executors' Python workers, once an application.
+
+    Sets the session's bound on the bytes of an Arrow batch, unless it has one: the default
+    bounds rows only, so that long texts make batches of any size.
+    """
     sc = spark.sparkContext
+    if _BATCH_CONF not in spark.conf.getAll:
+        spark.conf.set(_BATCH_CONF, BATCH_BYTES)
     if sc.applicationId in _shipped:
         return
     _shipped.add(sc.applicationId)

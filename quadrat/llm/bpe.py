@@ -24,13 +24,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrat.llm.memory import release
+from quadrat.llm.memory import released
 from quadrat.runtime import ship
 
-#: Entries of a cache of encoded pieces; a fuller one starts anew.
-CACHE = 300_000
+#: Bytes that the kept words and their ids take, about; a fuller cache starts anew.
+CACHE_BYTES = 24_000_000
+#: What an entry takes besides its characters and ids: a string, bytes, and its place in a dict.
+ENTRY_BYTES = 190
 #: Characters of text that are encoded at a time, whole texts at least.
-BATCH = 2_000_000
+BATCH = 500_000
 _SPACE = r"\t-\r \x85\xa0  -     　"
 _ODD = re.compile(r" (?=\s|$)|[\x1c-\x1f]")
 _CUT = re.compile(r" (?=[^\s])")
@@ -107,8 +109,8 @@ class Bpe:
         self.parts: list[bytes] = [b""] * self.size
         for t, r in ranks.items():
             self.parts[r] = t
-        self.known: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.held = 0
 
     @classmethod
     def load(cls, path: str, pattern: str) -> Bpe:
@@ -231,13 +233,12 @@ class Bpe:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of whole texts, as little-endian unsigned 32-bit integers.
 
-        Words that are not among those kept are cut into pre-tokens, and those that are not
-        kept either are merged together.
+        Words that are not among those kept are cut into pre-tokens, which are merged together.
         """
-        for kept in (self.words, self.known):
-            if len(kept) > CACHE:
-                kept.clear()
-        words, known, pieces = self.words, self.known, self.pieces
+        if self.held > CACHE_BYTES:
+            self.forget()
+        words, pieces = self.words, self.pieces
+        known: dict[str, bytes] = {}
         fresh: dict[str, list[str]] = {}
         heads = []
         for text in texts:
@@ -247,7 +248,7 @@ class Bpe:
             fresh.update(dict.fromkeys(filterfalse(words.__contains__, segments)))
         for word in fresh:
             fresh[word] = pieces(" " + word)
-        new = [p for p in dict.fromkeys(chain(chain.from_iterable(heads), chain.from_iterable(fresh.values()))) if p not in known]
+        new = list(dict.fromkeys(chain(chain.from_iterable(heads), chain.from_iterable(fresh.values()))))
         raw = [p.encode() for p in new]
         whole = [self.ranks.get(b) for b in raw]
         known.update((p, r.to_bytes(4, "little")) for p, r in zip(new, whole, strict=True) if r is not None)
@@ -255,7 +256,8 @@ class Bpe:
         known.update(zip([new[i] for i in rest], self.merge([raw[i] for i in rest]), strict=True))
         get = known.__getitem__
         for word, cut in fresh.items():
-            words[word] = b"".join(map(get, cut))
+            words[word] = ids = b"".join(map(get, cut))
+            self.held += ENTRY_BYTES + len(word) + len(ids)
         get_word = words.__getitem__
         return [b"".join(map(get, head)) + b"".join(map(get_word, self._segments(text)[1:])) for head, text in zip(heads, texts, strict=True)]
 
@@ -268,9 +270,10 @@ class Bpe:
             for batch in batches:
                 yield from self._slices(batch)
         finally:
-            self.words.clear()
-            self.known.clear()
-            release()
+            self.forget()
+
+    def forget(self) -> None:
+        self.words, self.held = {}, 0
 
     def _slices(self, batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
         sizes = np.cumsum(pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
@@ -313,7 +316,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFram
                 "decoded": pa.array([bpe.decode(x) for x in ids], pa.binary()),
             })
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(released(run), "doc_id long, n_tokens long, ids binary, decoded binary")
 
 
 def encoding_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -334,4 +337,4 @@ def encoding_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFram
                 "decoded_sha256": pa.array([digest(bpe.decode(x)) for x in ids], pa.string()),
             })
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(released(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

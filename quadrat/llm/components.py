@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quadrat.llm.memory import released
 from quadrat.runtime import materialize
 
 #: Edges that one local contraction holds at a time.
@@ -58,7 +59,7 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _contracted(edges: DataFrame) -> DataFrame:
-    return edges.mapInArrow(_contract, "u long, v long")
+    return edges.mapInArrow(released(_contract), "u long, v long")
 
 
 def _joined_min(edges: DataFrame, reduced: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrat.llm.files import open_file, write_file
-from quadrat.llm.memory import release
+from quadrat.llm.memory import release, released
 from quadrat.runtime import fresh_path, materialize, ship
 
 WIDTH = 50
@@ -149,7 +149,7 @@ def write_blocks(docs: DataFrame, folder: str, block_bytes: int = BLOCK_BYTES) -
         if held:
             yield flush(held, size)
 
-    return docs.mapInArrow(run, "block string, bytes long, rows long")
+    return docs.mapInArrow(released(run), "block string, bytes long, rows long")
 
 
 def read_block(name: str) -> pa.Table:
@@ -444,7 +444,7 @@ def removed_spans(docs: DataFrame, finish, schema: str, width: int = WIDTH, gram
                 texts = [t or b"" for t in batch.column("text").to_pylist()]
                 yield from finish(pa.Table.from_batches([batch]), texts, [[] for _ in texts]).to_batches()
 
-    return done.unionByName(apart.mapInArrow(alone, schema))
+    return done.unionByName(apart.mapInArrow(released(alone), schema))
 
 
 def cut(text: bytes, gone: list[tuple[int, int]]) -> bytes:

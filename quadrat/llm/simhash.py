@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadrat.llm.components import components, forest
+from quadrat.llm.memory import released
 from quadrat.runtime import materialize, ship
 
 SEED = 42
@@ -66,7 +67,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
             fps = np.array([fingerprint(x.as_py(), width) for x in texts], np.uint64)
             yield pa.record_batch({"doc_id": batch.column(0), "fp": pa.array(fps.view(np.int64), pa.int64())})
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(released(run), "doc_id long, fp long")
 
 
 def _near(radius: int) -> list[tuple[int, ...]]:
@@ -177,7 +178,7 @@ def fingerprint_links(groups: DataFrame, radius: int) -> DataFrame:
     moved = moved.filter(valid).select("fp", "rep", _tile(to).alias("tile")).join(F.broadcast(tiles), "tile")
     moved = moved.select("tile", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "fp", "rep")
     rows = own.unionByName(inside).unionByName(moved)
-    return rows.repartition("tile", "block").sortWithinPartitions("tile", "block", "role").mapInArrow(_compare(radius), "u long, v long")
+    return rows.repartition("tile", "block").sortWithinPartitions("tile", "block", "role").mapInArrow(released(_compare(radius)), "u long, v long")
 
 
 def simhash_components(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:

@@ -21,15 +21,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quadrat.llm.memory import released
 from quadrat.runtime import materialize, ship
 
 PIVOTS = 256
 PREFIX = 64
 #: Vectors of an index shard.
 SHARD = 8192
-#: Share of a shard's vectors that are reranked for a query, and how many at least.
+#: Share of a shard's vectors that are reranked for a query, and how many at least for each neighbour asked for.
 RERANK = 0.2
-RERANK_LEAST = 512
+RERANK_LEAST = 4
 BLOCK = 64
 SEED = 11
 
@@ -81,19 +82,16 @@ class Shard:
 
     def search(self, query_ids: np.ndarray, q: np.ndarray, k: int, rerank: float, least: int):
         n = len(self.ids)
-        take = min(n, max(int(n * rerank), least, k + 1))
+        take = min(n, max(int(n * rerank), least * k, k + 1))
         out_q, out_v, out_s = [], [], []
         for i, perm in enumerate(permutations(q, self.pivots, self.prefix).tolist()):
-            if take < n:
-                # The footrule distance is a constant of both less twice this gain.
-                gain = np.zeros(n, np.int32)
-                for at, pivot in enumerate(perm):
-                    who, place = self.files[pivot]
-                    gain[who] += self.prefix - np.maximum(place, at)
-                # All that tie with the last: copies stay together.
-                near = np.flatnonzero(gain >= np.partition(gain, n - take)[n - take])
-            else:
-                near = np.arange(n)
+            # The footrule distance is a constant of both less twice this gain.
+            gain = np.zeros(n, np.int32)
+            for at, pivot in enumerate(perm):
+                who, place = self.files[pivot]
+                gain[who] += self.prefix - np.maximum(place, at)
+            # All that tie with the last: copies stay together.
+            near = np.flatnonzero(gain >= np.partition(gain, n - take)[n - take])
             near = near[self.ids[near] != query_ids[i]]
             score = self.x[near] @ q[i]
             if len(near) > k:
@@ -150,22 +148,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, pivots: int = P
                     got = index.search(ids[at : min(at + BLOCK, e)], x[at : min(at + BLOCK, e)], k, rerank, least)
                     yield pa.record_batch(list(map(pa.array, got)), ["query_id", "vec_id", "score"])
 
-    dealt = home.unionByName(visit).repartition(shards, "shard").sortWithinPartitions("shard", "role")
-    found = materialize(dealt.mapInArrow(run, schema), "ann-found")
+    dealt = home.unionByName(visit).repartitionById(shards, "shard").sortWithinPartitions("shard", "role")
+    found = materialize(dealt.mapInArrow(released(run), schema), "ann-found")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
-
-#: Exact search: what the index gives where it reranks all vectors, as on tables of up to RERANK_LEAST.
-SQL = """
-WITH e AS (
-  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND len(embedding) > 0
-    AND len([x FOR x IN CAST(embedding AS DOUBLE[]) IF x IS NULL OR NOT isfinite(x)]) = 0
-    AND len([x FOR x IN CAST(embedding AS DOUBLE[]) IF x <> 0]) > 0),
-scored AS (
-  SELECT q.vec_id AS query_id, e.vec_id, list_inner_product(q.v, e.v) AS score
-  FROM e AS q JOIN e ON q.vec_id <> e.vec_id WHERE q.vec_id % 20 = 0),
-ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
-SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
-"""

@@ -69,7 +69,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
-    "op3_neighbours": neighbours.SQL,
     "op5_metric_join": metric_join.SQL,
     "op7_mixing": mixing.SQL,
     "op9_warc": warc.SQL,

@@ -1,4 +1,7 @@
+import os
+
 import numpy as np
+import pytest
 
 from quadrat.llm import metric_join, neighbours
 
@@ -50,6 +53,13 @@ def test_links_same_as_brute_force(spark):
         assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got} == want
 
 
+def test_links_of_repeated_ids_and_extreme_norms(spark):
+    rows = [(1, [1.0, 0.0], 1), (1, [1.0, 0.05], 1), (2, [1e200, 1e198], 1), (3, [1e-200, 0.0], 1), (4, [-0.0, 1.0], 1), (5, [0.0, 1.0], 1), (6, [0.0, 2.0], 1), (6, [0.0, 2.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in metric_join.near_vectors(df).collect())
+    assert got == [(1, 3, 1), (1, 3, 1), (2, 3, 1), (3, 3, 1), (4, 3, 4), (5, 3, 4), (6, 3, 4), (6, 3, 4)]
+
+
 def test_cells_hold_every_close_pair():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(400, 4))
@@ -67,7 +77,7 @@ def test_cells_hold_every_close_pair():
 def test_neighbours_exact_when_all_are_reranked(spark):
     x = vectors(4)[:60]
     df = table(spark, x, [0] * len(x))
-    got = neighbours.nearest(df, df.filter("vec_id % 20 = 0"), 5).collect()
+    got = neighbours.nearest(df, df.filter("vec_id % 20 = 0"), 5, least=12).collect()
     want = []
     for i in range(0, len(x), 4):
         best = sorted((-(x[j] @ x[i]), j * 5) for j in range(len(x)) if j != i)[:5]
@@ -83,7 +93,7 @@ def test_recall(spark):
     x = rng.normal(size=(6000, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     df = table(spark, x, [0] * len(x), odd=False)
-    got = neighbours.nearest(df, df.filter("vec_id % 500 = 0"), 20, shard=2000, least=50).collect()
+    got = neighbours.nearest(df, df.filter("vec_id % 500 = 0"), 20, shard=2000).collect()
     found = {}
     for r in got:
         found.setdefault(r.query_id, set()).add(r.vec_id)
@@ -95,13 +105,33 @@ def test_recall(spark):
     assert hits / (60 * 20) >= 0.9
 
 
+def test_recall_and_scores_on_the_test_table(spark):
+    path = "/root/testdata/sf0.1/embeddings.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test data here")
+    df = spark.read.parquet(path)
+    rows = [(r.vec_id, r.embedding) for r in df.collect()]
+    rows = [(i, v) for i, v in rows if v is not None and len(v) and all(a is not None and np.isfinite(a) for a in v) and any(v)]
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], np.float64)
+    found = {}
+    for r in neighbours.nearest(df, df.filter("vec_id % 20 = 0"), 20).collect():
+        found.setdefault(r.query_id, {})[r.vec_id] = r.score
+    place, hits = {i: k for k, i in enumerate(ids.tolist())}, 0
+    for i, got in found.items():
+        s = x @ x[place[i]]
+        s[place[i]] = -9
+        hits += sum(score >= np.sort(s)[-20] - 1e-9 for score in got.values())
+        assert len(got) == 20 and all(abs(score - s[place[v]]) < 1e-9 for v, score in got.items())
+    assert len(found) == (ids % 20 == 0).sum() and hits / (20 * len(found)) >= 0.9
+
+
 def test_copies_go_by_the_smaller_id(spark):
     rng = np.random.default_rng(9)
     x = rng.normal(size=(3000, 16))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     x[rng.permutation(3000)[:1000]] = x[0]
     df = table(spark, x, [0] * len(x), odd=False)
-    for least in (50, 5000):
+    for least in (2, 300):
         got = neighbours.nearest(df, df.filter("vec_id = 0"), 20, least=least).orderBy("rank").collect()
         assert [r.vec_id for r in got] == [i * 5 for i in range(1, 3000) if (x[i] == x[0]).all()][:20]
 

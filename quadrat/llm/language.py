@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadrat.llm.memory import release
+from quadrat.llm.memory import released
 from quadrat.runtime import ship
 
 DIMENSIONS = 4096
@@ -116,7 +116,8 @@ def fit(train: DataFrame, sample: int = SAMPLE, clusters: int = CLUSTERS, seed:
     """Fit on the rows of train (doc_id, text, lang) with a text and a language.
 
     Document frequencies are counted over all of them. The centroids are fitted on at most
-    `sample` rows of each language, those with the smallest seeded hashes. Without such rows
+    `sample` distinct rows of each language, those with the smallest seeded hashes of doc_id and
+    text; their vectors, not their texts, go to the driver. Without such rows
     the model knows no language: it predicts `und` and rejects only texts without letters.
     """
     spark = train.sparkSession
@@ -133,7 +134,7 @@ def fit(train: DataFrame, sample: int = SAMPLE, clusters: int = CLUSTERS, seed:
         yield pa.record_batch({"bucket": pa.array(np.append(used, -1).astype(np.int32)), "n": pa.array(np.append(seen[used], n))})
 
     # One row for each bucket, whatever the input.
-    df = rows.select("text").mapInArrow(frequencies, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    df = rows.select("text").mapInArrow(released(frequencies), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     frequency = {r["bucket"]: r["n"] for r in df}
     total = frequency.pop(-1, 0)
     idf = np.full(DIMENSIONS, np.log(1 + total) + 1.0)
@@ -143,18 +144,34 @@ def fit(train: DataFrame, sample: int = SAMPLE, clusters: int = CLUSTERS, seed:
     model = Model(sorted(sizes), idf, np.zeros((0, DIMENSIONS), np.float32), np.zeros(0, np.int64), max_distance)
     if not sizes:
         return model
-    # About one and a half times the sample by hash, then exactly the smallest hashes.
-    unit = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11) / float(1 << 53)
+    # About one and a half times the sample by hash, equal rows once, then exactly the smallest hashes.
+    unit = F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit(seed)), 11) / float(1 << 53)
     share = F.create_map(*[F.lit(x) for lang in model.languages for x in (lang, min(1.0, (1.5 * sample + 50) / sizes[lang]))])
     picked = rows.withColumn("u", unit).filter(F.col("u") <= share[F.col("lang")])
-    picked = picked.groupBy("lang").agg(F.slice(F.array_sort(F.collect_list(F.struct("u", "doc_id", "text"))), 1, sample).alias("rows"))
+
+    def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                part = part.filter(pa.array([has_letter(t) for t in part.column(2).to_pylist()], pa.bool_()))
+                x = model.vectors(part.column(2).to_pylist())
+                used = [np.flatnonzero(r).astype("<u2") for r in x]
+                values = [r[u].astype("<f4").tobytes() for r, u in zip(x, used, strict=True)]
+                yield pa.record_batch({"lang": part.column(0), "u": part.column(1), "at": pa.array([u.tobytes() for u in used], pa.binary()), "x": pa.array(values, pa.binary())})
+
+    picked = picked.select("lang", "u", "text").mapInArrow(released(sparse), "lang string, u double, at binary, x binary")
+    found: dict[str, list] = {}
+    for r in picked.dropDuplicates(["lang", "u"]).collect():  # about 1.5 samples a language, a vector each
+        found.setdefault(r["lang"], []).append(r)
     centroids, owner = [], []
-    for r in sorted(picked.collect(), key=lambda r: r["lang"]):
-        texts = [x["text"] for x in r["rows"] if has_letter(x["text"])]
-        if texts:
-            found = kmeans(model.vectors(texts), clusters, seed)
-            centroids.append(found)
-            owner += [model.languages.index(r["lang"])] * len(found)
+    for lang in sorted(found):
+        rows_of = sorted(found[lang], key=lambda r: (r["u"], r["at"], r["x"]))[:sample]
+        x = np.zeros((len(rows_of), DIMENSIONS), np.float32)
+        for row, r in zip(x, rows_of, strict=True):
+            row[np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["x"], "<f4")
+        nearest = kmeans(x, clusters, seed)
+        centroids.append(nearest)
+        owner += [model.languages.index(lang)] * len(nearest)
     if centroids:
         model.centroids, model.owner = np.concatenate(centroids).astype(np.float32), np.array(owner)
     else:
@@ -178,7 +195,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 names, score, rejected = model.predict(part.column(1).to_pylist())
                 yield pa.record_batch({"doc_id": part.column(0), "lang_pred": pa.array(names, pa.string()), "score": pa.array(score), "rejected": pa.array(rejected)})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(released(run), "doc_id long, lang_pred string, score double, rejected boolean")
 
 
 def identify(docs: DataFrame, **how) -> DataFrame:
@@ -198,6 +215,5 @@ def keep_identified(docs: DataFrame, **how) -> DataFrame:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
                 yield part.filter(pa.array(~model.predict(part.column("text").to_pylist())[2]))
-        release()
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)

@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrat.llm.language import held_out
-from quadrat.runtime import ship
+from quadrat.llm.memory import released
+from quadrat.runtime import materialize, ship
 
 WORDS = 2048
 STATISTICS = 22
@@ -147,11 +148,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = SE
 
     At most `sample` labelled rows are used, those with the smallest seeded hashes: they are
     few enough to be sent to all executors, which compute their features where the texts are.
-    Of a doc_id with several labels each counts. Without labels all scores are alike.
+    Of a doc_id with several labels each distinct one counts. Where a doc_id has many rows, the
+    rows that enter the fit are bounded by `sample` too, in the order of these hashes. Without
+    labels all scores are alike.
     """
     ship(docs.sparkSession)
     picked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("doc_id is not null and quality in (0, 1)")
-    picked = picked.filter(~held_out()).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id", "quality").limit(sample)
+    picked = picked.filter(~held_out()).distinct().orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id", "quality").limit(sample)
     joined = _inputs(docs).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "n_chars", "quality")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,9 +169,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = SE
                 "x": pa.array([r[u].astype("<f4").tobytes() for r, u in zip(rows, used, strict=True)], pa.binary()),
             })
 
-    rows = joined.mapInArrow(run, "doc_id long, quality int, at binary, x binary").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["quality"], r["at"], r["x"]))
-    rows = rows[:sample] if len(rows) > 2 * sample else rows
+    found = joined.mapInArrow(released(run), "doc_id long, quality int, at binary, x binary")
+    # Limited where it is computed: the driver gets `sample` rows at most.
+    found = materialize(found.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id", "quality", "at", "x").limit(sample), "quality-rows")
+    rows = sorted(found.collect(), key=lambda r: (r["doc_id"], r["quality"], r["at"], r["x"]))
     x = np.zeros((len(rows), WORDS + STATISTICS), np.float32)
     for i, r in enumerate(rows):
         x[i, np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["x"], "<f4")
@@ -192,7 +196,7 @@ def score(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> Da
                 got = machine.scores(x)
                 yield pa.record_batch({"doc_id": part.column(0), "score": pa.array(got), "predicted": pa.array((got >= threshold).astype(np.int32))})
 
-    return _inputs(docs).mapInArrow(run, "doc_id long, score double, predicted int")
+    return _inputs(docs).mapInArrow(released(run), "doc_id long, score double, predicted int")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:

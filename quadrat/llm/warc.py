@@ -16,10 +16,11 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrat.llm.files import open_file, write_file
+from quadrat.llm.memory import released
 from quadrat.runtime import fresh_path, materialize, ship
 
 #: Payloads smaller than this are never revisits.
@@ -51,9 +52,12 @@ def _clean(uri: str | None) -> str:
     return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", uri or "")
 
 
-def capture_records(page: str, uri: str | None, payload: bytes, digest: str, held_by: str | None) -> bytes:
-    """The three records of a capture; held_by: the page whose response holds the payload."""
-    where, page_key = _clean(uri), f"{page}:{digest}"
+def capture_records(page: str, uri: str | None, payload: bytes, digest: str, held_by: str | None, nth: int = 1) -> bytes:
+    """The three records of a capture; held_by: the page whose response holds the payload.
+
+    nth tells captures of the same page and payload apart.
+    """
+    where, page_key = _clean(uri), f"{page}:{digest}" + (f":{nth}" if nth > 1 else "")
     capture = _id("capture", page_key)
     path = re.sub(r"^[A-Za-z][\w+.-]*://[^/]*", "", where) or "/"
     host = (re.match(r"[A-Za-z][\w+.-]*://([^/]*)", where) or ["", ""])[1]
@@ -73,16 +77,29 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST) -> DataFra
     """Write pages (page_id, url, html) as WARC archives under folder; their list (path, records).
 
     Of pages with equal payloads of at least `least` bytes the one with the largest page_id is
-    the response. A null html is an empty payload, a null url an empty address. Rows that share
-    a page_id are captures of their own, numbered; of those with equal payloads the last is the
-    response. Rows with a null page_id are written as responses.
+    the response. A null html is an empty payload, a null url an empty address. Every row is a
+    capture of its own: rows equal in page_id and payload are numbered, and are all responses or
+    all revisits. Rows with a null page_id are written as responses.
     """
     ship(pages.sparkSession)
     body = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
     table = pages.select(F.col("page_id").cast("long"), "url", body.alias("body")).withColumn("digest", F.sha1("body")).withColumn("big", F.length("body") >= least)
-    shared = table.filter("big and page_id is not null").groupBy("digest").agg(F.max("page_id").alias("holder"), F.count("*").alias("n")).filter("n > 1").select("digest", "holder")
-    shared = materialize(shared, "warc-shared")
-    held = table.join(shared, "digest", "left").select("page_id", "url", "body", "digest", F.when(F.col("big"), F.col("holder")).alias("holder"))
+    seen = materialize(table.filter("page_id is not null").groupBy("digest", "page_id", "big").agg(F.count("*").alias("n")), "warc-seen")
+    again = seen.filter("n > 1").select("digest", "page_id")
+    if again.isEmpty():
+        rows = table.withColumns({"first": F.lit(1), "copies": F.lit(1).cast("long")})
+    else:
+        # Rows equal in all columns are one with a count; of a page and payload only distinct addresses are numbered.
+        same = table.join(again, ["digest", "page_id"], "left_semi").groupBy("page_id", "url", "digest", "big").agg(F.first("body").alias("body"), F.count("*").alias("copies"))
+        before = Window.partitionBy("page_id", "digest").orderBy("url").rowsBetween(Window.unboundedPreceding, -1)
+        same = same.withColumn("first", (F.coalesce(F.sum("copies").over(before), F.lit(0)) + 1).cast("int"))
+        other = table.join(again, ["digest", "page_id"], "left_anti").withColumns({"first": F.lit(1), "copies": F.lit(1).cast("long")})
+        rows = other.unionByName(same)
+    shared = seen.filter("big").groupBy("digest").agg(F.max("page_id").alias("holder"), F.count("*").alias("pages")).filter("pages > 1")
+    small = rows.filter("not big").withColumn("holder", F.lit(None).cast("long"))
+    large = rows.filter("big").join(materialize(shared.select("digest", "holder"), "warc-shared"), "digest", "left")
+    names = ["page_id", "url", "body", "digest", "holder", "first", "copies"]
+    held = large.select(names).unionByName(small.select(names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True))
@@ -95,15 +112,17 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST) -> DataFra
                 out.write(_record("warcinfo", f"<urn:uuid:{uuid.uuid4()}>", "", "application/warc-fields", b"software: quadrat\r\nformat: WARC file version 1.1\r\n"))
                 size, done = 0, 0
                 while first is not None and size < FILE_BYTES:
-                    page, url, payload, digest, holder = first
+                    page, url, payload, digest, holder, nth, copies = first
                     key = str(page) if page is not None else f"null-{uuid.uuid4()}"
-                    out.write(capture_records(key, url, payload, digest, str(holder) if holder is not None and page is not None and holder != page else None))
-                    size, done, first = size + len(payload), done + 3, next(rows, None)
+                    by = str(holder) if holder is not None and page is not None and holder != page else None
+                    for k in range(copies):
+                        out.write(capture_records(key, url, payload, digest, by, nth + k))
+                    size, done, first = size + len(payload) * copies, done + 3 * copies, next(rows, None)
 
             write_file(name, write)
             yield pa.record_batch({"path": [name], "records": pa.array([done + 1], pa.int64())})
 
-    return materialize(held.mapInArrow(run, "path string, records long"), "warc-files")
+    return materialize(held.mapInArrow(released(run), "path string, records long"), "warc-files")
 
 
 def _members(source: pa.NativeFile) -> Iterator[bytes]:
@@ -178,7 +197,7 @@ def read_records(files: DataFrame, payloads: bool = True) -> DataFrame:
                 if rows:
                     yield batch(rows)
 
-    return spark.createDataFrame(listed, "path string").repartition(len(listed)).mapInArrow(run, RECORD)
+    return spark.createDataFrame(listed, "path string").repartition(len(listed)).mapInArrow(released(run), RECORD)
 
 
 def assemble(records: DataFrame) -> DataFrame:

@@ -5,8 +5,11 @@ from __future__ import annotations
 import struct
 import zlib
 from bisect import bisect_right
+from collections import deque
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 
@@ -16,6 +19,8 @@ from quadrat.sources.sav_format import SavError
 from quadrat.sources.storage import open_input
 
 CHUNK = 8 << 20
+#: Compressed blocks that are inflated at a time.
+AHEAD = 4
 
 
 @dataclass(frozen=True)
@@ -42,12 +47,27 @@ def stream(d: SavDictionary, at: int = 0) -> Iterator[bytes]:
             return
         blocks = _zlib_blocks(d, source)
         starts = [b[0] for b in blocks]
-        for start, place, size, packed in blocks[max(0, bisect_right(starts, at) - 1) :]:
+        wanted = iter(blocks[max(0, bisect_right(starts, at) - 1) :])
+
+        def packed_block(place: int, size: int) -> bytes:
             source.seek(place)
-            raw = zlib.decompress(source.read(packed))
-            if len(raw) != size:
-                raise SavError(f"a block of {size} bytes inflates to {len(raw)}")
-            yield raw[max(0, at - start) :]
+            return source.read(size)
+
+        # A few blocks are inflated ahead: that doesn't hold Python's lock.
+        with ThreadPoolExecutor(AHEAD) as pool:
+            ahead = deque((b, pool.submit(zlib.decompress, packed_block(b[1], b[3]))) for b in islice(wanted, AHEAD))
+            held, size = [], 0
+            while ahead:
+                (start, _, full, _), inflated = ahead.popleft()
+                raw = inflated.result()
+                if len(raw) != full:
+                    raise SavError(f"a block of {full} bytes inflates to {len(raw)}")
+                ahead.extend((b, pool.submit(zlib.decompress, packed_block(b[1], b[3]))) for b in islice(wanted, 1))
+                held.append(raw[max(0, at - start) :])
+                size += len(held[-1])
+                if size >= CHUNK or not ahead:
+                    yield b"".join(held)
+                    held, size = [], 0
 
 
 def _zlib_blocks(d: SavDictionary, source) -> list[tuple[int, int, int, int]]:
@@ -72,14 +92,31 @@ def _zlib_blocks(d: SavDictionary, source) -> list[tuple[int, int, int, int]]:
     return out
 
 
+_RAW_CODES = np.uint64(int.from_bytes(bytes([sf.OP_RAW]) * 8, "little"))
+_LOW_BITS = np.uint64(0x7F7F7F7F7F7F7F7F)
+
+
+def zero_bytes(x: np.ndarray) -> np.ndarray:
+    """How many of the eight bytes of each number are zero: their top bits are what is left."""
+    return np.bitwise_count(~(((x & _LOW_BITS) + _LOW_BITS) | x | _LOW_BITS))
+
+
+def raw_counts(words: np.ndarray) -> np.ndarray:
+    """How many of the eight codes of each word (as numbers of 64 bits) stand for a raw word."""
+    return zero_bytes(words ^ _RAW_CODES)
+
+
 def _control_words(words: np.ndarray) -> tuple[np.ndarray, int]:
     """Indices of the control words whose raw words are all there, and where the next one is."""
-    steps = (1 + (words == sf.OP_RAW).sum(1)).tolist()
-    at, n, found = 0, len(words), []
-    while at < n and at + steps[at] <= n:
-        found.append(at)
+    steps = (raw_counts(words.view("<u8").ravel()) + 1).astype(np.uint8).tobytes()
+    at, n, found = 0, len(steps), []
+    push = found.append
+    while at < n:
+        push(at)
         at += steps[at]
-    return np.array(found, np.int64), at
+    if at > n:
+        at = found.pop()
+    return np.fromiter(found, np.int64, len(found)), at
 
 
 def _groups(pieces: Iterator[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, int, bool]]:
@@ -96,40 +133,63 @@ def _groups(pieces: Iterator[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, i
         yield np.frombuffer(left, np.uint8, len(left) // 8 * 8).reshape(-1, 8), np.zeros(1, np.int64), place, True
 
 
-def decode_bytecode(pieces: Iterator[bytes], bias: float, order: str) -> Iterator[np.ndarray]:
-    """The values of a stream, as slots in the machine's byte order."""
-    table = np.empty(256, np.uint64)
-    table[:] = np.frombuffer((np.arange(256, dtype=np.float64) - bias).tobytes(), np.uint64)
-    if order == ">":  # as raw numbers are there
-        table = table.byteswap()
-    table[sf.OP_BLANK] = int.from_bytes(b" " * 8, "little")
-    table[sf.OP_SYSMIS] = np.array(sf.SYSMIS, np.uint64).byteswap() if order == ">" else sf.SYSMIS
+def _coded(pieces: Iterator[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Codes of a stream's values, and the raw words of those that have one."""
     for words, controls, _, rest in _groups(pieces):
-        codes = words[controls].ravel()
+        flat = words.view("<u8").ravel()
+        codes = flat[controls].view(np.uint8)
         ends = np.flatnonzero(codes == sf.OP_END)
         over = len(ends) > 0
         codes = codes[: ends[0]] if over else codes
-        codes = codes[codes != sf.OP_SKIP]
-        raw = np.ones(len(words), bool)
+        skips = codes == sf.OP_SKIP
+        codes = codes[~skips] if skips.any() else codes
+        raw = np.ones(len(flat), bool)
         raw[controls] = False
-        data = np.ascontiguousarray(words[raw]).view("<u8").ravel()
-        wanted = codes == sf.OP_RAW
-        if wanted.sum() > len(data):
+        data = flat[raw]
+        wanted = int(np.count_nonzero(codes == sf.OP_RAW))
+        if wanted > len(data):
             # What is whole before the missing value is given; then the file is reported.
-            whole = np.flatnonzero(wanted)[len(data)]
-            yield _fill(table, codes[:whole], wanted[:whole], data)
+            whole = np.flatnonzero(codes == sf.OP_RAW)[len(data)]
+            yield codes[:whole], data
             raise SavError("the file ends within its compressed data")
-        yield _fill(table, codes, wanted, data)
+        yield codes, data[:wanted]
         if over or rest:
             return
 
 
+def _table(bias: float, order: str) -> np.ndarray:
+    """The slot that each code stands for, as raw slots of the file are."""
+    table = np.empty(256, np.uint64)
+    table[:] = np.frombuffer((np.arange(256, dtype=np.float64) - bias).tobytes(), np.uint64)
+    if order == ">":
+        table = table.byteswap()
+    table[sf.OP_BLANK] = int.from_bytes(b" " * 8, "little")
+    table[sf.OP_SYSMIS] = np.array(sf.SYSMIS, np.uint64).byteswap() if order == ">" else sf.SYSMIS
+    return table
+
+
 def _fill(table: np.ndarray, codes: np.ndarray, wanted: np.ndarray, data: np.ndarray) -> np.ndarray:
     out = table[codes]
-    out[wanted] = data[: int(wanted.sum())]
+    out[wanted] = data
     return out
 
 
+def _pick(table: np.ndarray, codes: np.ndarray, wanted: np.ndarray, data: np.ndarray, slots: int, picked: np.ndarray) -> np.ndarray:
+    """The picked slots of whole rows; the values of others are counted, not made."""
+    nth = np.cumsum(wanted, dtype=np.int32).reshape(-1, slots)[:, picked]
+    mine = wanted.reshape(-1, slots)[:, picked]
+    out = table[codes.reshape(-1, slots)[:, picked]]
+    out[mine] = data[nth[mine] - 1]
+    return out
+
+
+def decode_bytecode(pieces: Iterator[bytes], bias: float, order: str) -> Iterator[np.ndarray]:
+    """The values of a stream, as slots in the machine's byte order."""
+    table = _table(bias, order)
+    for codes, data in _coded(pieces):
+        yield _fill(table, codes, codes == sf.OP_RAW, data)
+
+
 def plan(d: SavDictionary, limit: int | None, target_bytes: int) -> list[Span]:
     """Cut a file's rows (at most limit) into spans of about target_bytes of data.
 
@@ -151,11 +211,12 @@ def plan(d: SavDictionary, limit: int | None, target_bytes: int) -> list[Span]:
         return [Span(0, limit, 0)]
     starts, values, next_row = [], 0, 0
     for words, controls, place, _ in _groups(stream(d)):
-        codes = words[controls]
-        ended = np.flatnonzero((codes == sf.OP_END).any(1))
+        codes = words.view("<u8").ravel()[controls]
+        ended = np.flatnonzero(codes.view(np.uint8) == sf.OP_END) // 8
         if len(ended):
             codes = codes[: ended[0] + 1]
-        upto = values + np.cumsum((codes != sf.OP_SKIP).sum(1))
+        # Codes for skipping are zero.
+        upto = values + np.cumsum(8 - zero_bytes(codes).astype(np.int64))
         at = place + controls[: len(codes)] * 8
         while next_row * d.slots < upto[-1] and (limit is None or next_row < limit):
             k = int(np.searchsorted(upto, next_row * d.slots, side="right"))
@@ -180,8 +241,11 @@ def plan(d: SavDictionary, limit: int | None, target_bytes: int) -> list[Span]:
     return out
 
 
-def read_slots(d: SavDictionary, span: Span, batch_rows: int) -> Iterator[np.ndarray]:
-    """Matrices (rows, slots) of a span's rows; a row that isn't whole is dropped."""
+def read_slots(d: SavDictionary, span: Span, batch_rows: int, picked: np.ndarray | None = None) -> Iterator[np.ndarray]:
+    """Matrices (rows, slots) of a span's rows; a row that isn't whole is dropped.
+
+    picked: the only slots wanted, in ascending order. A plain file's rows come whole anyway.
+    """
     if d.compression == "none":
         with open_input(d.path) as source:
             source.seek(span.at)
@@ -194,16 +258,26 @@ def read_slots(d: SavDictionary, span: Span, batch_rows: int) -> Iterator[np.nda
                 yield np.frombuffer(raw, "<u8", rows * d.slots).reshape(rows, d.slots)
                 left -= rows
         return
-    left, skip, held = span.rows, span.skip, np.zeros(0, np.uint64)
-    for values in decode_bytecode(stream(d, span.at), d.bias, d.order):
-        cut = min(skip, len(values))
-        skip -= cut
-        held = np.concatenate([held, values[cut:]]) if len(held) else values[cut:]
-        rows = len(held) // d.slots if left is None else min(len(held) // d.slots, left)
+    table = _table(d.bias, d.order)
+    left, skip = span.rows, span.skip
+    held, held_data = np.zeros(0, np.uint8), np.zeros(0, np.uint64)
+    for codes, data in _coded(stream(d, span.at)):
+        if skip:
+            cut = min(skip, len(codes))
+            data = data[np.count_nonzero(codes[:cut] == sf.OP_RAW) :]
+            codes, skip = codes[cut:], skip - cut
+        if len(held):
+            codes, data = np.concatenate([held, codes]), np.concatenate([held_data, data])
+        rows = len(codes) // d.slots if left is None else min(len(codes) // d.slots, left)
+        used = 0
         for at in range(0, rows, batch_rows):
             n = min(batch_rows, rows - at)
-            yield held[at * d.slots : (at + n) * d.slots].reshape(n, d.slots)
-        held = held[rows * d.slots :]
+            part = codes[at * d.slots : (at + n) * d.slots]
+            wanted = part == sf.OP_RAW
+            mine = data[used : used + int(np.count_nonzero(wanted))]
+            used += len(mine)
+            yield _fill(table, part, wanted, mine).reshape(n, d.slots) if picked is None else _pick(table, part, wanted, mine, d.slots, picked)
+        held, held_data = codes[rows * d.slots :], data[used:]
         if left is not None:
             left -= rows
             if not left:

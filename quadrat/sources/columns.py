@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 from quadrat.sources import charset as cs
 from quadrat.sources import sav_format as sf
-from quadrat.sources.dictionary import SavDictionary, Variable
+from quadrat.sources.dictionary import SavDictionary, Variable, slot_count
 
 ARROW = {"double": pa.float64(), "date": pa.date32(), "timestamp": pa.timestamp("us"), "duration": pa.duration("us"), "string": pa.string()}
 
@@ -79,6 +81,17 @@ def string(rows: np.ndarray, v: Variable, charset: str) -> pa.Array:
     return decoded.take(coded.indices)
 
 
+def packed(columns: list[Variable], slots: int) -> tuple[list[Variable], np.ndarray | None]:
+    """The variables as they lie in rows of only their own slots, and these slots; None if that is all."""
+    sizes = {v.slot: slot_count(v.width) for v in columns}
+    starts = sorted(sizes)
+    picked = np.concatenate([np.zeros(0, np.int64), *(np.arange(s, s + sizes[s]) for s in starts)])
+    if len(picked) >= slots:
+        return columns, None
+    place = dict(zip(starts, np.cumsum([0, *(sizes[s] for s in starts)]).tolist(), strict=False))
+    return [replace(v, slot=place[v.slot]) for v in columns], picked
+
+
 def to_batch(slots: np.ndarray, d: SavDictionary, columns: list[Variable]) -> list[pa.Array]:
     rows = np.ascontiguousarray(slots).view(np.uint8).reshape(len(slots), -1)
     return [string(rows, v, d.charset) if v.kind == "string" else numeric(slots[:, v.slot], v.kind, d.order) for v in columns]

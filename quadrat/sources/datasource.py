@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +15,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 
 from quadrat.runtime import ship
 from quadrat.sources.codec import Span, plan, read_slots
-from quadrat.sources.columns import to_batch
+from quadrat.sources.columns import packed, to_batch
 from quadrat.sources.dictionary import SavDictionary, read_dictionary
+from quadrat.sources.filters import OPERATORS, Test, passing
 from quadrat.sources.sav_format import SavError
 from quadrat.sources.storage import list_files
 
@@ -33,7 +36,11 @@ class SavPartition(InputPartition):
 
 
 class SavOptions:
-    """path, columns (JSON list of names), nRows, batchSize, partitionBytes, rowIndexName, rowIndexOffset."""
+    """path, columns (JSON list of names), nRows, batchSize, partitionBytes, rowIndexName, rowIndexOffset, where.
+
+    where is a JSON list of tests [column, operator, value]; rows for which one isn't true are
+    left out after nRows and row numbers.
+    """
 
     def __init__(self, options: dict[str, str]):
         low = {k.lower(): v for k, v in options.items()}
@@ -46,6 +53,10 @@ class SavOptions:
         self.target = max(1, int(low.get("partitionbytes", PARTITION_BYTES)))
         self.index = low.get("rowindexname")
         self.offset = int(low.get("rowindexoffset", 0))
+        self.where: list[Test] = [tuple(t) for t in json.loads(low["where"])] if low.get("where") else []
+        for _, op, _ in self.where:
+            if op not in OPERATORS:
+                raise ValueError(f"no test is called {op}")
         if self.offset < 0:
             raise ValueError("row_index_offset cannot be negative")
         if self.rows is not None and self.rows < 0:
@@ -72,6 +83,7 @@ class _Decoder:
         self.options, self.schema = options, schema
         self.names = [n for n in schema.fieldNames() if n != options.index]
         self.cached: dict[str, SavDictionary] = {}
+        self.tested = [n for n in dict.fromkeys(t[0] for t in options.where) if n not in self.names]
 
     def dictionary(self, path: str) -> SavDictionary:
         """A file's dictionary, in which the columns have the types that are asked for."""
@@ -88,13 +100,30 @@ class _Decoder:
 
     def decode(self, part: SavPartition) -> Iterator[pa.RecordBatch]:
         d, o = self.dictionary(part.path), self.options
-        columns = d.pick(self.names)
+        names = [*self.names, *self.tested]
+        columns, picked = d.pick(names), None
+        if d.compression != "none":
+            columns, picked = packed(columns, d.slots)
+        by_name = dict(zip(names, columns, strict=True))
         row = part.base + part.span.first_row + o.offset
-        for slots in read_slots(d, part.span, max(1, min(o.batch, BATCH_BYTES // (d.slots * 8)))):
-            arrays = dict(zip(self.names, to_batch(slots, d, columns), strict=True))
-            if o.index:
-                arrays[o.index] = pa.array(np.arange(row, row + len(slots), dtype=np.int64))
+        for slots in read_slots(d, part.span, max(1, min(o.batch, BATCH_BYTES // (d.slots * 8))), picked):
+            numbers = np.arange(row, row + len(slots), dtype=np.int64)
             row += len(slots)
+            done: dict[str, pa.Array] = {}
+            if o.where:
+                # The columns of tests first; of the others only the rows that pass are made.
+                used = list(dict.fromkeys(t[0] for t in o.where))
+                done = dict(zip(used, to_batch(slots, d, [by_name[n] for n in used]), strict=True))
+                kept = passing(o.where, done)
+                if not kept.all():
+                    slots, numbers, keep = slots[kept], numbers[kept], pa.array(kept)
+                    done = {n: a.filter(keep) for n, a in done.items()}
+                if not len(slots):
+                    continue
+            rest = [n for n in self.names if n not in done]
+            arrays = done | dict(zip(rest, to_batch(slots, d, [by_name[n] for n in rest]), strict=True))
+            if o.index:
+                arrays[o.index] = pa.array(numbers)
             names = self.schema.fieldNames()
             if names:
                 yield pa.RecordBatch.from_arrays([arrays[n] for n in names], names)
@@ -128,22 +157,34 @@ class SavReader(DataSourceReader):
             return iter(())
         return self.decoder.decode(partition)
 
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        """All partitions, one after the other, in this process."""
+        return chain.from_iterable(map(self.read, self.partitions()))
+
+
+def _digest(name: str) -> str:
+    return hashlib.sha256(name.encode()).hexdigest()[:16]
+
 
 class SavStreamReader(DataSourceStreamReader):
-    """Files of a folder as a stream: each is read once, when it is there; names must ascend."""
+    """Files of a folder as a stream: each is read once, when it is there.
+
+    An offset is the names of the files that have been read, as digests of 8 bytes, so that a
+    file may come late under a name that sorts before others.
+    """
 
     def __init__(self, options: SavOptions, schema: T.StructType):
         self.decoder, self.options = _Decoder(options, schema), options
 
     def initialOffset(self) -> dict:
-        return {"after": ""}
+        return {"seen": []}
 
     def latestOffset(self) -> dict:
-        found = list_files(self.options.path)
-        return {"after": found[-1] if found else ""}
+        return {"seen": sorted(map(_digest, list_files(self.options.path)))}
 
     def partitions(self, start: dict, end: dict) -> list[SavPartition]:
-        new = [f for f in list_files(self.options.path) if start["after"] < f <= end["after"]]
+        seen, there = set(start["seen"]), set(end["seen"])
+        new = [f for f in list_files(self.options.path) if _digest(f) in there and _digest(f) not in seen]
         return [SavPartition(f, s, 0) for f in new for s in self.decoder.spans(f, self.options.rows)]
 
     def read(self, partition: SavPartition) -> Iterator[pa.RecordBatch]:

@@ -36,6 +36,15 @@ class Variable:
         return T.StructField(self.name, SPARK_TYPES[self.kind], True, json.loads(self.metadata))
 
 
+@dataclass(frozen=True)
+class FloatInfo:
+    """What a file says of its special numbers: system-missing, and the ends of open ranges."""
+
+    sysmis: float
+    highest: float
+    lowest: float
+
+
 @dataclass(frozen=True)
 class SavDictionary:
     """All that is needed to read a file's data, and its metadata."""
@@ -49,6 +58,7 @@ class SavDictionary:
     charset: str
     variables: tuple[Variable, ...]
     metadata: SpssMetadata
+    float_info: FloatInfo | None = None
 
     @property
     def schema(self) -> T.StructType:
@@ -234,6 +244,11 @@ def _charset(raw: _Raw) -> str:
     return cs.DEFAULT
 
 
+def _float_info(raw: _Raw) -> FloatInfo | None:
+    body = raw.info.get(4, b"")
+    return FloatInfo(*struct.unpack(raw.order + "3d", body[:24])) if len(body) >= 24 else None
+
+
 def _pairs(text: str, between: str) -> dict[str, str]:
     parts = (p.partition("=") for p in re.split(between, text))
     return {k.strip().upper(): v.strip(" \0") for k, eq, v in parts if eq}
@@ -347,15 +362,17 @@ def _resolve(path: str, head: bytes, raw: _Raw, slots: int, compression: str, we
         **meta,
     )
     variables = tuple(Variable(names[i], i, *kinds[i], column_metadata(metadata, names[i])) for i in visible)
-    needed = max((v.slot + -(-v.width // 8) if v.width <= 255 else v.slot + _vls_slots(v.width) for v in variables if v.width), default=0)
+    needed = max((v.slot + slot_count(v.width) for v in variables if v.width), default=0)
     slots = len(raw.variables) if slots <= 0 else slots
     if slots < max(needed, 1 + max((v.slot for v in variables), default=-1)) or not variables:
         raise SavError(f"rows of {slots} slots don't hold the variables")
-    return SavDictionary(path, order, compression, number(head[84:92]), slots, start, charset, variables, metadata)
+    return SavDictionary(path, order, compression, number(head[84:92]), slots, start, charset, variables, metadata, _float_info(raw))
 
 
-def _vls_slots(width: int) -> int:
-    """Slots up to the last byte of a very long string."""
+def slot_count(width: int) -> int:
+    """Slots up to the last byte of a variable of a width; a number has none."""
+    if width <= 255:
+        return max(1, -(-width // 8))
     full, rest = divmod(width, sf.SEGMENT_BYTES)
     return full * sf.SEGMENT_SLOTS + -(-rest // 8)
 

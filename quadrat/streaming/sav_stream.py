@@ -12,7 +12,7 @@ from quadrat.sources.storage import list_files
 
 
 def stream_sav(spark: SparkSession, folder: str | os.PathLike, **options) -> DataFrame:
-    """Rows of the files of a folder, each read once; new files need names that sort after the others.
+    """Rows of the files of a folder, each read once, when it is there.
 
     The schema is that of the first file there. Options are those of the batch source.
     """

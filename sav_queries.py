@@ -134,11 +134,19 @@ def columns_of(sf_dir: str, name: str) -> tuple[list[Column], dict]:
     raise KeyError(name)
 
 
+def local_folder(spark: SparkSession) -> str:
+    """The folder for these files: the encoder writes local ones, so it must be a mounted one."""
+    named = shared_dir(spark)
+    if not named.startswith(("file:", "/")):
+        raise ValueError(f"the files of these queries need a mounted folder, not {named}")
+    folder = "/" + named.removeprefix("file:").lstrip("/") + "/sav"
+    os.makedirs(folder, exist_ok=True)
+    return folder
+
+
 def sav_file(spark: SparkSession, sf_dir: str, name: str, codec: str = "none") -> str:
     """The path of a driver table's system file; written where it isn't there yet."""
-    folder = shared_dir(spark).removeprefix("file:")
-    folder = "/" + folder.lstrip("/") + "/sav"
-    os.makedirs(folder, exist_ok=True)
+    folder = local_folder(spark)
     path = f"{folder}/{_VERSION}-{hashlib.md5(os.path.abspath(sf_dir).encode()).hexdigest()[:12]}-{name}-{codec}.{'zsav' if codec == 'zlib' else 'sav'}"
     if not os.path.exists(path):
         columns, how = columns_of(sf_dir, name)
@@ -203,8 +211,7 @@ def _meta(spark: SparkSession, sf_dir: str, table: str = "customer") -> SpssMeta
 
 def _pair(spark: SparkSession) -> tuple[SpssMetadata, SpssMetadata]:
     """Two small files that differ in each way that is compared."""
-    folder = "/" + shared_dir(spark).removeprefix("file:").lstrip("/") + "/sav"
-    os.makedirs(folder, exist_ok=True)
+    folder = local_folder(spark)
     v = [1.0, 2.0]
     a = [
         Column("id", v, label="Key"), Column("only_a", v), Column("kind", v, labels={1.0: "one", 2.0: "two"}, measure=1),
@@ -331,8 +338,6 @@ _CUSTOMERS = "SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationk
 _BLANK = "CASE WHEN c_custkey % 3 = 0 THEN '' ELSE '  x' END"
 _WIDTHS = ", ".join(f"left(repeat('ab', {w}), CAST({w} - doc_id % 7 AS INTEGER)) AS w{w}" for w in WIDTHS)
 
-# The first TEXT_BYTES bytes of a text, or up to three fewer where that would cut a character.
-_CUTS = ", ".join(f"TRY(decode(encode(text)[1:{TEXT_BYTES - k}]))" for k in range(4))
 _LATIN = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ"
 
 
@@ -361,8 +366,8 @@ ORACLES: dict[str, str] = {
     "date_cast": "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS o_orderdate FROM orders",
     "datetime_cast": "SELECT event_id, date_trunc('second', ts) AS ts FROM events",
     "duration_seconds": "SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) % 86400 AS seconds FROM events",
-    "vls_documents": f"SELECT doc_id, rtrim(CASE WHEN strlen(text) <= {TEXT_BYTES} THEN text ELSE coalesce({_CUTS}) END, ' ') AS text, n_chars FROM documents",
-    "charset_1252": f"SELECT doc_id, rtrim(regexp_replace(left(text, 60), '[^\\x00-\\x7F\\xA0-\\xFF{_LATIN}]', '', 'g'), ' ') AS text FROM documents",
+    "vls_documents": "SELECT doc_id, rtrim(text, ' ') AS text, n_chars FROM documents",
+    "charset_1252": f"SELECT doc_id, rtrim(regexp_replace(text, '[^\\x00-\\x7F\\xA0-\\xFF{_LATIN}]', '', 'g'), ' ') AS text FROM documents",
     "vls_boundary_widths": f"SELECT doc_id, {_WIDTHS}, n_chars AS last FROM documents",
     "wide_file": "SELECT vec_id, round(list_sum([CAST(x AS DOUBLE) * x FOR x IN embedding]), 6) AS norm2, CAST(embedding[1] AS DOUBLE) AS first, CAST(embedding[-1] AS DOUBLE) AS last FROM embeddings",
     "pricing_summary": PRICING_SQL,

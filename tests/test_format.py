@@ -8,7 +8,7 @@ import pytest
 from quadrat.metadata import header_datetime, number_text
 from quadrat.sources import charset, columns, dictionary
 from quadrat.sources import sav_format as sf
-from quadrat.sources.codec import decode_bytecode
+from quadrat.sources.codec import decode_bytecode, raw_counts
 
 
 def slots(*values):
@@ -91,3 +91,9 @@ def test_texts():
     assert header_datetime("16 Feb 26", "10:38:17") == "2026-02-16 10:38:17"
     assert header_datetime("what", "ever") == "what ever"
     assert [number_text(v) for v in (1.0, -3.0, 2.5, sf.HIGHEST, sf.LOWEST)] == ["1", "-3", "2.5", "HIGH", "LOW"]
+
+
+def test_raw_words_are_counted_by_code():
+    rng = np.random.default_rng(4)
+    words = rng.choice(np.array([0, 1, 100, 252, 253, 254, 255], np.uint8), (500, 8))
+    assert raw_counts(words.view("<u8").ravel()).tolist() == (words == 253).sum(1).tolist()

@@ -8,7 +8,7 @@ import pytest
 
 from quadrat.operators import metadata_tables as mt
 from quadrat.operators import survey
-from quadrat.plans.api import iter_batches, read_sav, read_sav_bytes, read_sav_metadata, scan_sav, schema_types
+from quadrat.plans.api import SavBatchReader, iter_batches, read_sav, read_sav_bytes, read_sav_metadata, scan_pruned, scan_sav, schema_types
 from quadrat.sources.sav_format import HIGHEST, LOWEST, SavError
 from sav_encoder import Column, write_sav
 
@@ -221,3 +221,37 @@ def test_folder_bytes_and_stream(spark, tmp_path):
 
 def test_extremes_are_the_formats():
     assert (HIGHEST, LOWEST) == (struct.unpack("<d", b"\xff\xff\xff\xff\xff\xff\xef\x7f")[0], struct.unpack("<d", b"\xfe\xff\xff\xff\xff\xff\xef\xff")[0])
+
+
+def test_tests_of_a_scan_and_pruned_columns(spark, tmp_path):
+    nan = float("nan")
+    columns = [Column("a", [1, None, 3, nan, -5]), Column("s", ["x", "", "xy", "é", "x"], 300), Column("b", [None, 2.5, 1e300, 4, 5]), Column("t", ["q"] * 5, 3)]
+    for codec in CODECS:
+        path = str(tmp_path / f"w-{codec}.sav")
+        write_sav(path, columns, codec)
+        read = lambda **how: read_sav(spark, path, **how)[0]  # noqa: B023, E731
+        assert [r.row for r in read(where=[("a", ">", 0)], row_index_name="row", columns=["b"]).collect()] == [0, 2, 3]
+        assert [r.b for r in read(where=[("a", "is null", None)]).collect()] == [2.5]
+        assert [r.t for r in read(where=[("s", "starts with", "x"), ("b", "is not null", None)], n_rows=4).collect()] == ["q"]
+        assert [r.s for r in read(where=[("s", "in", ["xy", "é"])], columns=["s"]).collect()] == ["xy", "é"]
+        assert read(where=[("a", "=", 99)]).count() == 0
+        df, _ = scan_pruned(spark, path, lambda d: d.filter("b > 3").select("s"))
+        assert [r.s for r in df.collect()] == ["xy", "é", "x"]
+        assert "sav[s#" in df._jdf.queryExecution().toString() and "t#" not in df._jdf.queryExecution().optimizedPlan().toString()
+    with pytest.raises(ValueError):
+        read(where=[("a", "~", 1)]).count()
+    with pytest.raises(OSError):
+        read(where=[("nope", "=", 1)])
+
+
+def test_batch_reader(tmp_path):
+    path = str(tmp_path / "b.sav")
+    write_sav(path, [Column("a", list(range(25))), Column("s", [f"v{i}" for i in range(25)], 5)], "bytecode")
+    reader = SavBatchReader(path, batch_size=10).select(["s"])
+    assert [(b.num_rows, reader.rows_read) for b in reader] == [(10, 10), (10, 20), (5, 25)] and reader.next_batch() is None
+    assert reader.metadata.number_columns == 2 and reader.schema.names == ["s"]
+    with pytest.raises(ValueError):
+        reader.limit(3)
+    assert SavBatchReader(path).limit(7).collect_single().column(0).to_pylist() == [float(i) for i in range(7)]
+    empty = SavBatchReader(path, columns=[1]).limit(0).collect_single()
+    assert empty.num_rows == 0 and empty.schema.names == ["s"]

@@ -8,9 +8,13 @@ padded with mask 0. A second file lists each document's doc_id, first token and
 
 from __future__ import annotations
 
+import json
+import os
+import string
+import unicodedata
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -21,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrat.llm.files import open_file, write_file
+from quadrat.llm.memory import released
 from quadrat.runtime import fresh_path, materialize, ship
 
 SEQUENCE = 2048
@@ -28,9 +33,28 @@ SEQUENCE = 2048
 ROWS = 256
 #: Documents of a file, about.
 FILE_DOCS = 16384
-#: Words whose ids a worker keeps.
-CACHE = 600_000
-BATCH_DOCS = 1000
+#: Bytes that the kept words and their ids take, about; a fuller cache starts anew.
+CACHE_BYTES = 32_000_000
+#: What an entry takes besides its characters and ids: a string, bytes, and its place in a dict.
+ENTRY_BYTES = 190
+#: Characters of text that are encoded at a time, whole texts at least.
+BATCH = 1_000_000
+#: Words of letters before this one are cut from punctuation: all tables have them as letters.
+BEYOND = "\u0250"
+DOTTED = "İ"
+# How the tokenizers that this is for normalise texts and cut them.
+STEPS = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+)
+#: Python splits words at these, the tokenizer doesn't.
+SEPARATORS = "\x1c\x1d\x1e\x1f"
 #: Words of letters that are encoded as one string.
 JOINED = 64
 #: Files at most; beyond FILE_DOCS times that, files grow.
@@ -43,24 +67,34 @@ class WordEncoder:
     """Encodes whole texts with a tokenizer that drops white space, and keeps words' ids.
 
     As the tokenizer's pre-tokenizer never joins characters across white space, a text's ids
-    are those of its words in order. A word of letters with punctuation behind it is two
-    pre-tokens; its letters are kept in lower case, which the tokenizer gives them anyway. The
-    tokenizers library encodes all that isn't kept: letters in one string for many words, with
-    a digit, which is a pre-token of its own, between them. Texts with characters at which
-    Python but not the tokenizer splits go to the library whole.
+    are those of its words in order. Words are looked up as the tokenizer normalises them: in
+    composed form and lower case. A word of Latin letters with punctuation behind it is two
+    pre-tokens. The tokenizers library encodes all that isn't kept: letters in one string for
+    many words, with a digit, which is a pre-token of its own, between them; words of other
+    kinds, such as letters that composition takes apart, go to it as they are. Texts with
+    characters at which Python but not the tokenizer splits, or with the text of one of its
+    added tokens in any case, go to it whole, and so do all texts for a tokenizer that doesn't
+    normalise and cut as STEPS say.
     """
 
-    TAIL = ".,;:!?|"
+    TAIL = string.punctuation
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are parallel already
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        steps = json.loads(self.tokenizer.to_str())
+        self.by_words = (steps["normalizer"], steps["pre_tokenizer"]) == STEPS
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # The same model without what normalised letters don't need.
+        self.speller = Tokenizer.from_file(path)
+        self.speller.normalizer = normalizers.Sequence([])
+        self.speller.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("0", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         (self.between,) = self.tokenizer.encode("0", add_special_tokens=False).ids
         self.words: dict[str, bytes] = {}
-        self.letters: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {"": b""}
+        self.held = 0
 
     def _library(self, texts: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -71,40 +105,65 @@ class WordEncoder:
         for at in range(0, len(letters), 4096):
             group = letters[at : at + 4096]
             joined = ["0".join(group[i : i + JOINED]) for i in range(0, len(group), JOINED)]
-            encoded = self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)
-            ids = np.array([x for e in encoded for x in (*e.ids, self.between)], self.dtype)
-            ends = np.flatnonzero(ids == self.between)
+            flat: list[int] = []
+            for e in self.speller.encode_batch_fast(joined, add_special_tokens=False):
+                flat += e.ids
+                flat.append(self.between)
+            ids = np.array(flat, self.dtype)
+            ends = (np.flatnonzero(ids == self.between) * width).tolist()
             raw, start = ids.tobytes(), 0
-            for word, end in zip(group, (ends * width).tolist(), strict=True):
-                self.letters[word] = raw[start:end]
+            for word, end in zip(group, ends, strict=True):
+                self.words[word] = raw[start:end]
                 start = end + width
+            self.held += len(raw) + sum(map(len, group)) + ENTRY_BYTES * len(group)
+
+    def _keep(self, words: list[str], ids: Iterable[bytes]) -> None:
+        for word, found in zip(words, ids, strict=True):
+            self.words[word] = found
+            self.held += ENTRY_BYTES + len(word) + len(found)
+
+    def forget(self) -> None:
+        self.words, self.held = {}, 0
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        words, letters, tails = self.words, self.letters, self.tails
-        for kept in (words, letters, tails):
-            if len(kept) > CACHE:
-                kept.clear()
-        tails[""] = b""
-        whole = {i for i, t in enumerate(texts) if not t.isprintable() and any(c in t for c in "\x1c\x1d\x1e\x1f")}
-        split = [[] if i in whole else t.split() for i, t in enumerate(texts)]
-        cut, other = {}, []
-        for word in set(chain.from_iterable(split)).difference(words):
+        if not self.by_words:
+            return self._library(texts)
+        if self.held > CACHE_BYTES:
+            self.forget()
+        words = self.words
+        plain = list(map(normalised, texts))
+        whole = {i for i, t in enumerate(plain) if not t.isprintable() and any(c in t for c in SEPARATORS) or any(x in t for x in self.added)}
+        split = [[] if i in whole else t.split() for i, t in enumerate(plain)]
+        new = set(chain.from_iterable(split)).difference(words)
+        letters, tailed, other = [], [], []
+        for word in new:
+            if word.isalpha():
+                (letters if word.isascii() or max(word) < BEYOND and DOTTED not in word else other).append(word)
+                continue
             core = word.rstrip(self.TAIL)
-            small = core.lower()
-            # A capital whose small form has a mark of its own, or depends on its place, is not cut.
-            if core.isalpha() and small.isalpha() and "Σ" not in core:
-                cut[word] = small, word[len(core) :]
+            if core.isalpha() and max(core) < BEYOND and DOTTED not in core:
+                tailed.append((word, core, word[len(core) :]))
             else:
                 other.append(word)
-        self._spell(list({c for c, _ in cut.values()}.difference(letters)))
-        new = list({t for _, t in cut.values()}.difference(tails))
-        tails.update(zip(new, self._library(new), strict=True))
-        words.update((w, letters[c] + tails[t]) for w, (c, t) in cut.items())
-        words.update(zip(other, self._library(other), strict=True))
+        self._spell([*letters, *{c for _, c, _ in tailed}.difference(words, letters)])
+        ends = {t for _, _, t in tailed}.difference(words)
+        self._keep([*ends, *other], self._library([*ends, *other]))
+        self._keep([w for w, _, _ in tailed], [words[c] + words[t] for _, c, t in tailed])
         get = words.__getitem__
         return [self._library([t])[0] if i in whole else b"".join(map(get, s)) for i, (t, s) in enumerate(zip(texts, split, strict=True))]
 
 
+def normalised(text: str) -> str:
+    """Composed and lower case, each letter on its own: a capital sigma has one small form.
+
+    The one capital whose small form has a mark stays: composed again, its marks might change places.
+    """
+    if text.isascii():
+        return text.lower()
+    text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+    return text.lower() if DOTTED not in text else DOTTED.join(p.lower() for p in text.split(DOTTED))
+
+
 def encoder(path: str) -> WordEncoder:
     if path not in _loaded:
         _loaded[path] = WordEncoder(path)
@@ -122,17 +181,22 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int | None, b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path)
+        enc.forget()
         end = b"" if end_id is None else np.array([end_id], enc.dtype).tobytes()
         width = np.dtype(enc.dtype).itemsize
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH_DOCS):
-                part = batch.slice(at, BATCH_DOCS)
+            sizes = np.cumsum(pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+            at, to = 0, 0
+            while to < batch.num_rows:
+                at = to
+                to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + BATCH, side="right")))
+                part = batch.slice(at, to - at)
                 ids = [x + end for x in enc.encode([t or "" for t in part.column(1).to_pylist()])]
                 keys = pc.fill_null(part.column(0), -(1 << 63)).to_numpy(zero_copy_only=False)
                 place = np.searchsorted(edges, keys, side="right").astype(np.int32)
                 yield pa.record_batch({"part": pa.array(place), "doc_id": part.column(0), "n_tokens": pa.array([len(x) // width for x in ids], pa.int64()), "width": pa.array([width] * len(ids), pa.int32()), "ids": pa.array(ids, pa.binary())})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "part int, doc_id long, n_tokens long, width int, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(released(run), "part int, doc_id long, n_tokens long, width int, ids binary")
 
 
 def _sequence_batches(parts: Iterator[np.ndarray], dtype, sequence: int) -> Iterator[pa.RecordBatch]:
@@ -211,7 +275,7 @@ def write_token_files(encoded: DataFrame, parts: int, folder: str, sequence: int
         yield pa.record_batch({"part": [TaskContext.get().partitionId()], "path": [name], "n_docs": [len(ids)], "n_tokens": [int(total[-1])]})
 
     ordered = encoded.repartitionById(parts, "part").sortWithinPartitions("doc_id", "ids")
-    return materialize(ordered.mapInArrow(run, "part long, path string, n_docs long, n_tokens long"), "token-files")
+    return materialize(ordered.mapInArrow(released(run), "part long, path string, n_docs long, n_tokens long"), "token-files")
 
 
 class TokenFile:
@@ -264,7 +328,7 @@ def read_documents(files: DataFrame) -> DataFrame:
                     yield pa.record_batch({"doc_id": part.column(0), "start": pa.array(first + start), "n_tokens": part.column(2), "ids": pa.array(ids, pa.binary())})
 
     paths = spark.createDataFrame(rows, "path string, start long").repartition(len(rows))
-    return paths.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return paths.mapInArrow(released(run), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def token_table(docs: DataFrame, tokenizer_path: str, end_id: int | None = 2, sequence: int = SEQUENCE) -> DataFrame:

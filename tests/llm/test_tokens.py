@@ -1,4 +1,5 @@
 import random
+import unicodedata
 import zlib
 
 import numpy as np
@@ -38,6 +39,24 @@ def test_many_words_as_the_library_gives_them():
         assert np.frombuffer(ids, enc.dtype).tolist() == lib.encode(text, add_special_tokens=False).ids, text
 
 
+def test_every_letter_with_punctuation_behind_it():
+    enc, lib = tokens.WordEncoder(PATH), Tokenizer.from_file(PATH)
+    kinds = [c for c in map(chr, range(0x80, 0x1FB00)) if unicodedata.category(c)[0] in "LMN"]
+    for tail in ("", ".", ",;", "!?'", "|", "_-", "a.", "%%%"):
+        texts = [" ".join(f"{c}{tail} A{c}{tail}" for c in kinds[at : at + 500]) for at in range(0, len(kinds), 500)]
+        for text, ids in zip(texts, enc.encode(texts), strict=True):
+            assert np.frombuffer(ids, enc.dtype).tolist() == lib.encode(text, add_special_tokens=False).ids, (tail, text[:20])
+
+
+def test_added_tokens_in_any_case_and_full_caches(monkeypatch):
+    enc, lib = tokens.WordEncoder(PATH), Tokenizer.from_file(PATH)
+    monkeypatch.setattr(tokens, "CACHE_BYTES", 500)
+    texts = ["x<|endoftext|>y", "a <|ENDOFTEXT|> b", "<|EndOfText|>.", "হয়. जज़, Σας ΑΣ.", *(f"word{i} again, some {i}" for i in range(50))]
+    for text in texts * 2:
+        (ids,) = enc.encode([text])
+        assert np.frombuffer(ids, enc.dtype).tolist() == lib.encode(text, add_special_tokens=False).ids, text
+
+
 def test_files_have_equal_sequences(spark, tmp_path):
     df = spark.createDataFrame([(i, "some words here " * i) for i in range(50)], "doc_id long, text string")
     bounds = tokens.file_bounds(df, 20)

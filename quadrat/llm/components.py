@@ -13,7 +13,7 @@ from quadrat.llm.memory import released
 from quadrat.runtime import materialize
 
 #: Edges that one local contraction holds at a time.
-LOCAL_EDGES = 500_000
+LOCAL_EDGES = 200_000
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,7 +77,8 @@ def components(edges: DataFrame, tag: str, max_rounds: int = 60) -> DataFrame:
     """(id, component_id) of each node that has an edge in edges (u long, v long).
 
     component_id is the smallest node reachable. Self-links, repeated edges and an empty edge
-    list are allowed; rows with a null end are ignored. Each round is written to the shared
+    list are allowed; rows with a null end are ignored. Rounds of stars go on until the edges
+    that are left fit one local contraction, which ends it. Each round is written to the shared
     folder, groups are reduced before they are joined, and nothing is collected but two
     numbers a round.
     """
@@ -87,6 +88,8 @@ def components(edges: DataFrame, tag: str, max_rounds: int = 60) -> DataFrame:
     if not before[0]:
         return edges.select(F.col("u").alias("id"), F.col("v").alias("component_id"))
     for _ in range(max_rounds):
+        if before[0] < LOCAL_EDGES:
+            return materialize(_contracted(edges.coalesce(1)), f"{tag}-stars").select(F.col("u").alias("id"), F.col("v").alias("component_id"))
         # Large star: what is above a node hangs on the smallest node around it.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _joined_min(both, both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 import xxhash
 
 from quadrat.llm import components, simhash
@@ -65,7 +66,9 @@ def test_empty(spark):
     assert simhash.simhash_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("local", [components.LOCAL_EDGES, 0])
+def test_components_of_chains_and_stars(spark, monkeypatch, local):
+    monkeypatch.setattr(components, "LOCAL_EDGES", local)  # 0: rounds of stars to the end
     edges = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 160)] + [(7, 7), (200, 201), (201, 200)]
     random.Random(1).shuffle(edges)
     df = spark.createDataFrame(edges, "u long, v long").repartition(7)

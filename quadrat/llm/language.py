@@ -3,7 +3,8 @@
 A text is a vector of hashed byte 2-, 3- and 4-gram counts, damped, weighted by inverse document
 frequency and normalised. Document frequencies cover all training rows; centroids are fitted by
 spherical k-means on a bounded sample of each language's training rows. A text goes to the
-language of the centroid with the largest cosine, and is rejected if even that is too far.
+language of the centroid with the largest cosine, and is rejected if even that is too far: farther
+than the fitted rows of its size are, as short texts lie far from every centroid and long ones near.
 """
 
 from __future__ import annotations
@@ -25,8 +26,12 @@ GRAMS = (2, 3, 4)
 #: Training rows of each language that the centroids are fitted on, at most.
 SAMPLE = 400
 CLUSTERS = 3
-#: Cosine distance to the nearest centroid beyond which a text is rejected.
+#: Cosine distance to the nearest centroid beyond which a text of any size is rejected.
 MAX_DISTANCE = 0.95
+#: What a text may be farther than the farthest fitted row of its size (see `limits`).
+MARGIN = 0.15
+#: Fitted rows that a size needs to have a limit of its own.
+LEAST = 20
 SEED = 17
 UNKNOWN = "und"
 #: Texts that are compared with the centroids at a time.
@@ -72,7 +77,8 @@ class Model:
     idf: np.ndarray
     centroids: np.ndarray
     owner: np.ndarray
-    max_distance: float = MAX_DISTANCE
+    #: The distance beyond which a text is rejected, by its size.
+    limits: np.ndarray
 
     def vectors(self, texts: list[str]) -> np.ndarray:
         x = np.empty((len(texts), DIMENSIONS), np.float32)
@@ -87,15 +93,36 @@ class Model:
         names, score, rejected = [UNKNOWN] * len(texts), np.zeros(len(texts)), ~known
         if self.languages and known.any():
             at = np.flatnonzero(known)
-            cosine = self.vectors([texts[i] for i in at]) @ self.centroids.T
+            x = self.vectors([texts[i] for i in at])
+            cosine = x @ self.centroids.T
             best = cosine.argmax(1)
             score[at] = np.clip(cosine[np.arange(len(at)), best], 0, 1)
-            rejected[at] = 1 - score[at] > self.max_distance
+            rejected[at] = 1 - score[at] > self.limits[sizes(x)]
             for i, o in zip(at, self.owner[best], strict=True):
                 names[i] = self.languages[o]
         return names, score, rejected
 
 
+def sizes(x: np.ndarray) -> np.ndarray:
+    """The size of each vector's text: the bit length of the number of buckets it has n-grams in."""
+    return np.frexp(np.count_nonzero(x, 1))[1]
+
+
+def limits(size: np.ndarray, distance: np.ndarray, margin: float = MARGIN, max_distance: float = MAX_DISTANCE) -> np.ndarray:
+    """The rejection distance of every size, falling with it, from fitted rows' sizes and distances.
+
+    It is `margin` more than the largest distance of the rows of this size or a larger one, and
+    never more than max_distance. Sizes of fewer than LEAST rows take the next smaller one's;
+    the smallest, with none before them, max_distance.
+    """
+    out, last = np.empty(DIMENSIONS.bit_length() + 1), max_distance
+    for s in range(len(out)):
+        if (size == s).sum() >= LEAST:
+            last = min(max_distance, distance[size >= s].max() + margin)
+        out[s] = last
+    return out
+
+
 def kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 20) -> np.ndarray:
     """Spherical k-means from farthest-first beginnings; unit centroids, without empty ones."""
     rng = np.random.default_rng(seed)
@@ -112,12 +139,13 @@ def kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 20) -> np.ndarray:
     return centroids
 
 
-def fit(train: DataFrame, sample: int = SAMPLE, clusters: int = CLUSTERS, seed: int = SEED, max_distance: float = MAX_DISTANCE) -> Model:
+def fit(train: DataFrame, sample: int = SAMPLE, clusters: int = CLUSTERS, seed: int = SEED, margin: float = MARGIN, max_distance: float = MAX_DISTANCE) -> Model:
     """Fit on the rows of train (doc_id, text, lang) with a text and a language.
 
     Document frequencies are counted over all of them. The centroids are fitted on at most
     `sample` distinct rows of each language, those with the smallest seeded hashes of doc_id and
-    text; their vectors, not their texts, go to the driver. Without such rows
+    text; their vectors, not their texts, go to the driver. Rejection distances come from the
+    same rows (`limits`). Without such rows
     the model knows no language: it predicts `und` and rejects only texts without letters.
     """
     spark = train.sparkSession
@@ -140,13 +168,14 @@ def fit(train: DataFrame, sample: int = SAMPLE, clusters: int = CLUSTERS, seed:
     idf = np.full(DIMENSIONS, np.log(1 + total) + 1.0)
     for bucket, n in frequency.items():
         idf[bucket] = np.log((1 + total) / (1 + n)) + 1
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    model = Model(sorted(sizes), idf, np.zeros((0, DIMENSIONS), np.float32), np.zeros(0, np.int64), max_distance)
-    if not sizes:
+    of_lang = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    none = np.zeros(0, np.int64)
+    model = Model(sorted(of_lang), idf, np.zeros((0, DIMENSIONS), np.float32), none, limits(none, none, margin, max_distance))
+    if not of_lang:
         return model
     # About one and a half times the sample by hash, equal rows once, then exactly the smallest hashes.
     unit = F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit(seed)), 11) / float(1 << 53)
-    share = F.create_map(*[F.lit(x) for lang in model.languages for x in (lang, min(1.0, (1.5 * sample + 50) / sizes[lang]))])
+    share = F.create_map(*[F.lit(x) for lang in model.languages for x in (lang, min(1.0, (1.5 * sample + 50) / of_lang[lang]))])
     picked = rows.withColumn("u", unit).filter(F.col("u") <= share[F.col("lang")])
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +192,7 @@ def fit(train: DataFrame, sample: int = SAMPLE, clusters: int = CLUSTERS, seed:
     found: dict[str, list] = {}
     for r in picked.dropDuplicates(["lang", "u"]).collect():  # about 1.5 samples a language, a vector each
         found.setdefault(r["lang"], []).append(r)
-    centroids, owner = [], []
+    centroids, owner, size, distance = [], [], [], []
     for lang in sorted(found):
         rows_of = sorted(found[lang], key=lambda r: (r["u"], r["at"], r["x"]))[:sample]
         x = np.zeros((len(rows_of), DIMENSIONS), np.float32)
@@ -172,8 +201,11 @@ def fit(train: DataFrame, sample: int = SAMPLE, clusters: int = CLUSTERS, seed:
         nearest = kmeans(x, clusters, seed)
         centroids.append(nearest)
         owner += [model.languages.index(lang)] * len(nearest)
+        size.append(sizes(x))
+        distance.append(1 - (x @ nearest.T).max(1))
     if centroids:
         model.centroids, model.owner = np.concatenate(centroids).astype(np.float32), np.array(owner)
+        model.limits = limits(np.concatenate(size), np.concatenate(distance), margin, max_distance)
     else:
         model.languages = []
     return model
@@ -184,7 +216,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     docs needs doc_id and text. lang_pred is `und`, score 0 and rejected true if the text is
     null or has no letter; otherwise lang_pred is the nearest language and rejected tells
-    whether it is farther than the model's max_distance. Rows stay as they are.
+    whether it is farther than the model's limit for texts of its size. Rows stay as they are.
     """
     ship(docs.sparkSession)
 

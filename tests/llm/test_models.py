@@ -69,7 +69,7 @@ def test_language_same_as_plain_code(spark):
         v = vectors[r.doc_id, r.text]
         cosine = [sum(x * float(c[b]) for b, x in v.items()) for c in model.centroids]
         best = max(cosine)
-        assert abs(r.score - min(max(best, 0), 1)) < 1e-4 and r.rejected == (1 - r.score > language.MAX_DISTANCE)
+        assert abs(r.score - min(max(best, 0), 1)) < 1e-4 and r.rejected == (1 - r.score > model.limits[len(v).bit_length()])
         assert cosine[[model.languages[o] for o in model.owner].index(r.lang_pred)] > -1 and max(c for c, o in zip(cosine, model.owner, strict=True) if model.languages[o] == r.lang_pred) > best - 1e-4
 
 
@@ -80,6 +80,23 @@ def test_language_of_many_equal_rows(spark):
     assert got.filter("lang_pred <> 'aa' and doc_id is null").count() == 0 and got.count() == len(rows)
 
 
+def test_language_rejects_far_texts_by_size(spark):
+    r = random.Random(8)
+    alphabet = "abcdefghijklmnopqrstuvwxyz"
+    train = [(i, " ".join(r.choices(WORDS[lang].split(), k=r.choice([3, 20, 200]))), lang) for i in range(600) for lang in [r.choice(list(WORDS))]]
+    noise = " ".join("".join(r.choices(alphabet, k=6)) for _ in range(500))
+    far = [noise, bytes(r.randrange(256) for _ in range(900)).hex(), "Все люди рождаются свободными и равными в своем достоинстве и правах. " * 3]
+    near = ["the house", "Haus", WORDS["aa"], " ".join([WORDS["bb"]] * 30)]
+    docs = train + [(1000 + i, t, None) for i, t in enumerate(far)] + [(2000 + i, t, None) for i, t in enumerate(near)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    got = {x.doc_id for x in language.identify(df).collect() if x.rejected}
+    assert got == {1000, 1001, 1002}
+    # Held against a plain rule.
+    size, distance = np.array([3] * 30 + [5] * 10 + [6] * 25), np.array([0.7] * 30 + [0.75] * 10 + [0.4] * 25)
+    want = [0.95] * 3 + [min(0.95, 0.75 + 0.15)] * 3 + [0.4 + 0.15] * 8
+    assert np.allclose(language.limits(size, distance), want)
+
+
 def test_language_without_training_rows(spark):
     df = spark.createDataFrame([(1, "words", None)], "doc_id long, text string, lang string")
     assert [tuple(r)[2:] for r in language.identify(df).collect()] == [("und", 0.0, False)]

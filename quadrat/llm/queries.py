@@ -69,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op4_repeats": repeats.SQL,
     "op5_metric_join": metric_join.SQL,
     "op7_mixing": mixing.SQL,
     "op9_warc": warc.SQL,

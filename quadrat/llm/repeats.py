@@ -491,3 +491,24 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         return pa.table({n: pa.array(kept, pa.string()) if n == "text" else table[n] for n in names})
 
     return removed_spans(docs, finish, schema, width)
+
+
+#: Bytes that the SQL cuts windows from at a time.
+PIECE = 256
+
+#: The same rows, where no doc_id repeats, by all windows of all texts as hexadecimal digits, so of bytes and not of letters.
+SQL = f"""
+WITH given AS (SELECT doc_id, upper(hex(encode(coalesce(text, '')))) AS h FROM documents),
+pieces AS (SELECT doc_id, base, substr(h, 2 * base + 1, 2 * ({PIECE} + {WIDTH - 1})) AS piece FROM (SELECT doc_id, h, unnest(range(0, greatest(len(h) // 2 - {WIDTH - 1}, 0), {PIECE})) AS base FROM given)),
+windows AS (SELECT doc_id, base + i AS p, substr(piece, 2 * i + 1, {2 * WIDTH}) AS w FROM (SELECT doc_id, base, piece, unnest(range(0, least(len(piece) // 2 - {WIDTH - 1}, {PIECE}))) AS i FROM pieces)),
+seen AS (SELECT w, min(doc_id) AS first_id FROM windows GROUP BY w HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT doc_id, p FROM windows JOIN seen USING (w) WHERE doc_id > first_id),
+begun AS (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= {WIDTH} THEN 0 ELSE 1 END AS fresh FROM gone),
+numbered AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM begun),
+spans AS (SELECT doc_id, run, min(p) AS s, max(p) + {WIDTH} AS e FROM numbered GROUP BY doc_id, run),
+cuts AS (SELECT doc_id, s, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS before FROM spans),
+kept AS (SELECT doc_id, sum(e - s) AS n_removed, count(*) AS n_spans, max(e) AS last_end, string_agg(substr(h, 2 * before + 1, 2 * (s - before)), '' ORDER BY s) AS k FROM cuts JOIN given USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+    sha256(unhex(CASE WHEN n_spans IS NULL THEN h ELSE k || substr(h, 2 * last_end + 1) END)) AS kept_sha256
+FROM given LEFT JOIN kept USING (doc_id)
+"""

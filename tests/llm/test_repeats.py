@@ -1,7 +1,9 @@
 import hashlib
 import random
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quadrat.llm import repeats
@@ -51,6 +53,14 @@ def test_same_as_brute_force(spark, seed, block, part):
     assert sorted((tuple(r) for r in repeats.repeat_digests(df, 50, block_bytes=block, part_bytes=part).collect()), key=repr) == plain(rows, 50)
 
 
+def test_sql_same_as_brute_force():
+    rows = [*corpus(4), (1000, "é" * 400), (1001, "x" + "é" * 400)]
+    documents = pa.table({"doc_id": pa.array([i for i, _ in rows], pa.int64()), "text": pa.array([t for _, t in rows], pa.string())})
+    with duckdb.connect() as db:
+        db.register("documents", documents)
+        assert sorted(db.execute(repeats.SQL).fetchall(), key=repr) == plain(rows, 50)
+
+
 def test_anchors_cover_every_window_once():
     rng = np.random.default_rng(5)
     for alphabet in (1, 2, 30):

@@ -16,7 +16,9 @@ depth are exactly the repeated windows. The passes:
 
 Requests are dealt by anchor hash over parts of bounded size, and answers go back by block;
 text is read from the block files and never shuffled. A passage that a third of all documents
-share is one string for each block.
+share is one string for each block. An anchor with many different strings (a common line in
+unlike texts) is hot: its windows are sent each on its own, once for each block, and dealt by
+all their bytes, so that only equal windows need to meet.
 """
 
 from __future__ import annotations
@@ -43,6 +45,12 @@ BLOCK_BYTES = 4_000_000
 PART_BYTES = 12_000_000
 #: Text bytes that are hashed at a time.
 CHUNK = 1 << 20
+#: A block tells of an anchor's different strings if they are more than COUNTED; an anchor of more
+#: than HOT such strings in all is hot. So a part has at most COUNTED strings of an anchor for
+#: each block, and HOT more. Results don't depend on either.
+COUNTED = 16
+HOT = 2048
+NONE = np.zeros(0, np.uint64)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -157,6 +165,19 @@ def read_block(name: str) -> pa.Table:
         return pa.ipc.open_file(source).read_all()
 
 
+def _among(h: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Whether each of h is one of some."""
+    if not len(some):
+        return np.zeros(len(h), bool)
+    some = np.sort(some)
+    return some[np.minimum(np.searchsorted(some, h), len(some) - 1)] == h
+
+
+def _hash_of(raw: np.ndarray) -> np.ndarray:
+    """The anchors' hashes, which strings begin with."""
+    return raw[:, :8].copy().view(">u8").ravel().astype(np.uint64)
+
+
 class Block:
     """A block's documents in ascending doc_id order, as one run of bytes, and their anchors."""
 
@@ -184,42 +205,55 @@ class Block:
         starts = np.flatnonzero(new)
         return h[starts], np.logical_or.reduceat(many, starts) if len(starts) else np.zeros(0, bool)
 
-    def strings(self, kept: np.ndarray, width: int, gram: int):
+    def crowded(self, width: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes with more than COUNTED different strings in the block, and how many they have."""
+        h, n = np.unique(self.hash, return_counts=True)
+        if len(h) and n.max() > COUNTED:
+            h, n = np.unique(_hash_of(self.strings(h[n > COUNTED], NONE, width, gram)[0]), return_counts=True)
+        return h[n > COUNTED], n[n > COUNTED]
+
+    def strings(self, kept: np.ndarray, hot: np.ndarray, width: int, gram: int):
         """Of the anchors with a kept hash: bytes around, windows, and the smallest document.
 
-        Gives for each distinct (hash, string, windows): hash, string, from, to, doc; and for each
-        anchor its index in that list, or -1.
+        Gives for each distinct (hash, windows, string): these as bytes, the document, and whether
+        the hash is hot; and four arrays with an entry for each anchor, or for each window of one
+        with a hot hash: the anchor, the least and most bytes before it at which windows begin,
+        and the index among the distinct ones.
         """
-        side = width - gram
-        mine = np.zeros(0, np.int64)
-        if len(kept):
-            kept = np.sort(kept)
-            mine = np.flatnonzero(kept[np.minimum(np.searchsorted(kept, self.hash), len(kept) - 1)] == self.hash)
+        side, span = width - gram, 2 * width - gram
         body = np.frombuffer(b"".join(self.texts), np.uint8)
         begin = np.concatenate([[0], np.cumsum(np.fromiter(map(len, self.texts), np.int64, len(self.texts)))])
-        span = side + width
         padded = np.concatenate([np.zeros(side, np.uint8), body, np.zeros(span, np.uint8)])
+        # From side bytes before the anchor to width bytes behind its begin.
         view = np.lib.stride_tricks.sliding_window_view(padded, span)
-        at = begin[self.row[mine]] + self.place[mine]
-        text = view[at]  # from side bytes before the anchor to width bytes behind its begin
-        low, high = (self.place - self.first)[mine], (self.place - self.last)[mine]
-        # Bytes that none of the windows reaches are blanked: they don't tell strings apart.
+        least, most = self.place - self.last, self.place - self.first
+        single = _among(self.hash, hot)
+        mine = np.flatnonzero(_among(self.hash, kept) & ~single)
+        asked = [(mine, least[mine], most[mine])]
+        for back in range(side + 1) if single.any() else ():
+            mine = np.flatnonzero(single & (least <= back) & (back <= most))
+            asked.append((mine, np.full(len(mine), back), np.full(len(mine), back)))
+        raws, docs, classes, n = [], [], [], 0
         columns = np.arange(span)
-        text = np.where((columns[None, :] >= side - low[:, None]) & (columns[None, :] < side - high[:, None] + width), text, 0).astype(np.uint8)
-        key = np.concatenate([self.hash[mine].astype(">u8").view(np.uint8).reshape(-1, 8), high.astype(np.uint8)[:, None], low.astype(np.uint8)[:, None], text], 1)
-        key = np.ascontiguousarray(key).view(f"S{key.shape[1]}").ravel()
-        packed = np.ascontiguousarray(key).view(np.dtype((np.void, key.dtype.itemsize)))
-        order = np.argsort(packed, kind="stable")
-        ordered = packed[order]
-        new = np.ones(len(order), bool)
-        new[1:] = ordered[1:] != ordered[:-1]
-        cls = np.cumsum(new) - 1
-        starts = np.flatnonzero(new)
-        doc = np.minimum.reduceat(self.ids[self.row[mine]][order], starts) if len(starts) else np.zeros(0, np.int64)
-        which = np.full(len(self.hash), -1, np.int64)
-        which[mine[order]] = cls
-        raw = ordered[starts].view(np.uint8).reshape(len(starts), span + 10)
-        return raw, doc, which
+        for mine, high, low in asked:
+            text = view[begin[self.row[mine]] + self.place[mine]]
+            # Bytes that none of the windows reaches are blanked: they don't tell strings apart.
+            text = np.where((columns[None, :] >= side - low[:, None]) & (columns[None, :] < side - high[:, None] + width), text, 0).astype(np.uint8)
+            key = np.concatenate([self.hash[mine].astype(">u8").view(np.uint8).reshape(-1, 8), high.astype(np.uint8)[:, None], low.astype(np.uint8)[:, None], text], 1)
+            packed = np.ascontiguousarray(key).view(np.dtype((np.void, key.shape[1]))).ravel()
+            order = np.argsort(packed, kind="stable")
+            ordered = packed[order]
+            new = np.ones(len(order), bool)
+            new[1:] = ordered[1:] != ordered[:-1]
+            starts = np.flatnonzero(new)
+            cls = np.empty(len(order), np.int64)
+            cls[order] = np.cumsum(new) - 1 + n
+            n += len(starts)
+            classes.append(cls)
+            docs.append(np.minimum.reduceat(self.ids[self.row[mine]][order], starts) if len(starts) else np.zeros(0, np.int64))
+            raws.append(ordered[starts].view(np.uint8).reshape(len(starts), span + 10))
+        entries = *(np.concatenate(x) for x in zip(*asked, strict=True)), np.concatenate(classes)
+        return np.concatenate(raws), np.concatenate(docs), np.arange(n) >= len(raws[0]), entries
 
 
 # --- Dealing ----------------------------------------------------------------------------
@@ -229,56 +263,86 @@ def _parts_of(h: np.ndarray, parts: int) -> np.ndarray:
     return ((h >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
 
 
+def _string_parts(raw: np.ndarray, hot: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each string: by its anchor's hash, or by all its bytes if that is hot."""
+    h = _hash_of(raw)
+    if hot.any():
+        rows = np.flatnonzero(hot)
+        words = np.zeros((len(rows), -(-raw.shape[1] // 8) * 8), np.uint8)
+        words[:, : raw.shape[1]] = raw[rows]
+        mixed = np.zeros(len(rows), np.uint64)
+        for word in words.view("<u8").T:
+            mixed ^= word
+            _mix(mixed)
+        h[rows] = mixed
+    return _parts_of(h, parts)
+
+
+def _by_part(part: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The parts that occur, ascending, and for each the rows that it has, in order."""
+    order = np.argsort(part, kind="stable")
+    used, starts = np.unique(part[order], return_index=True)
+    return used, np.split(order, starts[1:]) if len(used) else []
+
+
 def _anchor_requests(parts: int, width: int, gram: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for name in pdf["block"]:
-                h, many = Block(name, width, gram).distinct()
-                part = _parts_of(h, parts)
-                order = np.argsort(part, kind="stable")
-                cut = np.searchsorted(part[order], np.arange(parts + 1))
-                used = np.flatnonzero(np.diff(cut))
-                h, many = h[order], many[order]
+                block = Block(name, width, gram)
+                h, many = block.distinct()
+                crowded, often = block.crowded(width, gram)
+                strings = np.zeros(len(h), np.uint64)
+                strings[np.searchsorted(h, crowded)] = often
+                del block
+                used, rows = _by_part(_parts_of(h, parts))
+                some = [r[strings[r] > 0] for r in rows]
                 release()
-                yield pd.DataFrame({"part": used.astype(np.int32), "block": name, "hashes": [h[cut[p] : cut[p + 1]].tobytes() for p in used], "many": [np.packbits(many[cut[p] : cut[p + 1]]).tobytes() for p in used]})
+                yield pd.DataFrame({"part": used.astype(np.int32), "block": name, "hashes": [h[r].tobytes() for r in rows], "many": [np.packbits(many[r]).tobytes() for r in rows], "crowded": [np.stack([h[r], strings[r]], 1).tobytes() for r in some]})
 
     return run
 
 
-def _answer_anchors(pdf: pd.DataFrame) -> pd.DataFrame:
+def _answer_anchors(hot: int):
     """Of each block's anchors, those that two documents have: here, or one here and one there."""
-    lists = [np.frombuffer(x, np.uint64) for x in pdf["hashes"]]
-    many = [np.unpackbits(np.frombuffer(m, np.uint8), count=len(h)).astype(bool) for m, h in zip(pdf["many"], lists, strict=True)]
-    every = np.concatenate(lists)
-    order = np.argsort(every, kind="stable")
-    ranked, flags = every[order], np.concatenate(many)[order]
-    new = np.ones(len(ranked), bool)
-    new[1:] = ranked[1:] != ranked[:-1]
-    starts = np.flatnonzero(new)
-    shared = np.logical_or.reduceat(flags, starts) | (np.diff(np.append(starts, len(ranked))) > 1)
-    keep = np.empty(len(every), bool)
-    keep[order] = shared[np.cumsum(new) - 1]
-    at, kept = 0, []
-    for h in lists:
-        kept.append(h[keep[at : at + len(h)]].tobytes())
-        at += len(h)
-    return pd.DataFrame({"block": pdf["block"], "part": pdf["part"], "answer": kept})[[bool(k) for k in kept]]
-
-
-def _kept(pdf: pd.DataFrame) -> np.ndarray:
-    return np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(x, np.uint64) for x in pdf["answer"]]])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        lists = [np.frombuffer(x, np.uint64) for x in pdf["hashes"]]
+        many = [np.unpackbits(np.frombuffer(m, np.uint8), count=len(h)).astype(bool) for m, h in zip(pdf["many"], lists, strict=True)]
+        strings = [np.zeros(len(h), np.uint64) for h in lists]
+        for n, h, x in zip(strings, lists, pdf["crowded"], strict=True):
+            told = np.frombuffer(x, np.uint64).reshape(-1, 2)
+            n[np.searchsorted(h, told[:, 0])] = told[:, 1]
+        every = np.concatenate(lists)
+        order = np.argsort(every, kind="stable")
+        ranked, flags = every[order], np.concatenate(many)[order]
+        new = np.ones(len(ranked), bool)
+        new[1:] = ranked[1:] != ranked[:-1]
+        starts = np.flatnonzero(new)
+        shared = np.logical_or.reduceat(flags, starts) | (np.diff(np.append(starts, len(ranked))) > 1)
+        crowd = shared & (np.add.reduceat(np.concatenate(strings)[order], starts) > hot)
+        keep, single = np.empty(len(every), bool), np.empty(len(every), bool)
+        keep[order], single[order] = shared[np.cumsum(new) - 1], crowd[np.cumsum(new) - 1]
+        at, kept, singles = 0, [], []
+        for h in lists:
+            kept.append(h[keep[at : at + len(h)]].tobytes())
+            singles.append(h[single[at : at + len(h)]].tobytes())
+            at += len(h)
+        return pd.DataFrame({"block": pdf["block"], "part": pdf["part"], "answer": kept, "hot": singles})[[bool(k) for k in kept]]
+
+    return run
+
+
+def _kept(pdf: pd.DataFrame, column: str = "answer") -> np.ndarray:
+    return np.concatenate([NONE, *[np.frombuffer(x, np.uint64) for x in pdf[column]]])
 
 
 def _string_requests(parts: int, width: int, gram: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         name = pdf["block"].iloc[0]
-        raw, doc, _ = Block(name, width, gram).strings(_kept(pdf), width, gram)
-        part = _parts_of(raw[:, :8].copy().view(">u8").ravel().astype(np.uint64), parts)
-        order = np.argsort(part, kind="stable")
-        cut = np.searchsorted(part[order], np.arange(parts + 1))
-        used = np.flatnonzero(np.diff(cut))
+        raw, doc, hot, _ = Block(name, width, gram).strings(_kept(pdf), _kept(pdf, "hot"), width, gram)
+        used, pick = _by_part(_string_parts(raw, hot, parts))
         pack = lambda x: pa.compress(x, "zstd", asbytes=True)
-        pick = [order[cut[p] : cut[p + 1]] for p in used]
         release()
         return pd.DataFrame({"part": used.astype(np.int32), "block": name, "rows": [len(x) for x in pick], "strings": [pack(raw[x].T.tobytes()) for x in pick], "docs": [doc[x].tobytes() for x in pick]})
 
@@ -363,23 +427,16 @@ def _answer_strings(width: int, gram: int):
     return run
 
 
-def _resolve(block: Block, kept: np.ndarray, answers: dict[int, np.ndarray], parts: int, width: int, gram: int) -> list[np.ndarray]:
+def _resolve(block: Block, kept: np.ndarray, hot: np.ndarray, answers: dict[int, np.ndarray], parts: int, width: int, gram: int) -> list[np.ndarray]:
     """For each document the windows' begins whose string a smaller document has."""
-    raw, doc, which = block.strings(kept, width, gram)
-    part = _parts_of(raw[:, :8].copy().view(">u8").ravel().astype(np.uint64), parts)
+    raw, doc, single, (mine, front, back, cls) = block.strings(kept, hot, width, gram)
     bits = np.zeros(len(raw), np.uint32)
-    order = np.argsort(part, kind="stable")
-    cut = np.searchsorted(part[order], np.arange(parts + 1))
-    for p in np.flatnonzero(np.diff(cut)):
-        bits[order[cut[p] : cut[p + 1]]] = answers[int(p)]
-    mine = np.flatnonzero(which >= 0)
-    cls = which[mine]
+    for p, at in zip(*_by_part(_string_parts(raw, single, parts)), strict=True):
+        bits[at] = answers[int(p)]
     # A document that isn't the string's smallest in its block has a smaller one beside it.
     beaten = block.ids[block.row[mine]] > doc[cls]
     got = np.where(beaten, np.uint32(0xFFFFFFFF), bits[cls])
     rows, begins = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    back = block.place[mine] - block.first[mine]
-    front = block.place[mine] - block.last[mine]
     some = np.flatnonzero(got)
     mine, got, back, front = mine[some], got[some], back[some], front[some]
     for step in range(width - gram + 1):
@@ -401,7 +458,7 @@ def spans(begins: np.ndarray, width: int) -> list[tuple[int, int]]:
     return list(zip(begins[np.concatenate([[0], gap + 1])].tolist(), (begins[np.concatenate([gap, [len(begins) - 1]])] + width).tolist(), strict=True))
 
 
-def removed_spans(docs: DataFrame, finish, schema: str, width: int = WIDTH, gram: int = GRAM, block_bytes: int = BLOCK_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
+def removed_spans(docs: DataFrame, finish, schema: str, width: int = WIDTH, gram: int = GRAM, block_bytes: int = BLOCK_BYTES, part_bytes: int = PART_BYTES, hot: int = HOT) -> DataFrame:
     """finish(table, texts, spans) -> record batch, for each block of docs, with its removed spans.
 
     docs needs doc_id (long) and text (string or binary); rows without a doc_id lose nothing
@@ -417,21 +474,22 @@ def removed_spans(docs: DataFrame, finish, schema: str, width: int = WIDTH, gram
     parts = max(1, -(-(total[0] or 0) // part_bytes))
     n_blocks = max(1, total[1])
     listed = blocks.select("block").repartition(n_blocks)
-    asked = listed.mapInPandas(_anchor_requests(parts, width, gram), "part int, block string, hashes binary, many binary")
-    kept = materialize(asked.groupBy("part").applyInPandas(_answer_anchors, "block string, part int, answer binary"), "repeats-anchors")
+    asked = listed.mapInPandas(_anchor_requests(parts, width, gram), "part int, block string, hashes binary, many binary, crowded binary")
+    kept = materialize(asked.groupBy("part").applyInPandas(_answer_anchors(hot), "block string, part int, answer binary, hot binary"), "repeats-anchors")
     strings = kept.groupBy("block").applyInPandas(_string_requests(parts, width, gram), "part int, block string, rows int, strings binary, docs binary")
     found = materialize(strings.groupBy("part").applyInPandas(_answer_strings(width, gram), "block string, part int, answer binary"), "repeats-windows")
-    every = listed.select("block", F.lit(-1).alias("kind"), F.lit(-1).alias("part"), F.lit(b"").alias("answer"))
-    every = every.unionByName(kept.select("block", F.lit(0).alias("kind"), "part", "answer")).unionByName(found.select("block", F.lit(1).alias("kind"), "part", "answer"))
+    every = listed.select("block", F.lit(-1).alias("kind"), F.lit(-1).alias("part"), F.lit(b"").alias("answer"), F.lit(b"").alias("hot"))
+    every = every.unionByName(kept.select("block", F.lit(0).alias("kind"), "part", "answer", "hot")).unionByName(found.select("block", F.lit(1).alias("kind"), "part", "answer", F.lit(b"").alias("hot")))
 
     def last(table: pa.Table) -> pa.Table:
         pdf = table.to_pandas()
         block = Block(pdf["block"].iloc[0], width, gram)
         windows = pdf[pdf["kind"] == 1]
         answers = {int(p): np.frombuffer(a, np.uint32) for p, a in zip(windows["part"], windows["answer"], strict=True)}
-        gone = [spans(b, width) for b in _resolve(block, _kept(pdf[pdf["kind"] == 0]), answers, parts, width, gram)]
+        anchored = pdf[pdf["kind"] == 0]
+        gone = [spans(b, width) for b in _resolve(block, _kept(anchored), _kept(anchored, "hot"), answers, parts, width, gram)]
         table, texts = block.table, block.texts
-        del block, pdf, windows, answers
+        del block, pdf, windows, anchored, answers
         release()
         return finish(table, texts, gone)
 

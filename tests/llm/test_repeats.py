@@ -53,6 +53,44 @@ def test_same_as_brute_force(spark, seed, block, part):
     assert sorted((tuple(r) for r in repeats.repeat_digests(df, 50, block_bytes=block, part_bytes=part).collect()), key=repr) == plain(rows, 50)
 
 
+def lined(seed, n):
+    """Texts with a common line in unlike surroundings, some of them copies or nearly, over several lengths of line."""
+    r = random.Random(seed)
+    other = lambda k: "".join(r.choices("abcdefghij klmnop", k=k))
+    line = "all rights reserved, see the licence for that 1234567890"
+    texts = [other(r.randint(0, 90)) + line[: r.choice([30, 40, 47, 49, 56])] + other(r.randint(0, 90)) for _ in range(n)]
+    texts += [texts[0], texts[1] + "!", texts[2][3:], texts[3] + texts[4], line[:40] * 3]
+    return [(5 * i, t) for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize(("hot", "block"), [(100, 6_000_000), (100, 8000), (0, 12_000)])
+def test_common_line_in_unlike_texts(spark, hot, block):
+    rows = lined(6, 600)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert sorted((tuple(r) for r in repeats.repeat_digests(df, 50, block_bytes=block, part_bytes=4000, hot=hot).collect()), key=repr) == plain(rows, 50)
+
+
+def test_windows_of_hot_anchors_are_dealt_out(spark, tmp_path):
+    r = random.Random(7)
+    line = "a line of forty bytes in very many texts"
+    other = lambda: "".join(r.choices("abcdefghij klmnop", k=60))
+    df = spark.createDataFrame([(i, (other() + line + other()).encode()) for i in range(500)], "doc_id long, text binary").coalesce(1)
+    (listed,) = repeats.write_blocks(df, str(tmp_path)).collect()
+    block = repeats.Block(listed["block"], 50, 24)
+    hot, often = block.crowded(50, 24)
+    assert len(hot) and often.max() > 400
+    most = lambda raw, single: np.bincount(repeats._string_parts(raw, single, 64)).max()
+    raw, _, single, _ = block.strings(block.hash, repeats.NONE, 50, 24)
+    assert most(raw[np.isin(repeats._hash_of(raw), hot)], single[np.isin(repeats._hash_of(raw), hot)]) > 400
+    raw, _, single, (anchor, least, last, cls) = block.strings(block.hash, hot, 50, 24)
+    assert single.sum() > 400 and most(raw[single], single[single]) < 3 * single.sum() / 64
+    # Every window is still asked for once.
+    windows = sorted((a, b) for a, x, y in zip(anchor.tolist(), least.tolist(), last.tolist(), strict=True) for b in range(x, y + 1))
+    places = zip(block.place - block.last, block.place - block.first, strict=True)
+    assert windows == [(a, b) for a, (x, y) in enumerate(places) for b in range(x, y + 1)]
+    assert len(cls) == len(anchor) and cls.max() == len(raw) - 1
+
+
 def test_sql_same_as_brute_force():
     rows = [*corpus(4), (1000, "é" * 400), (1001, "x" + "é" * 400)]
     documents = pa.table({"doc_id": pa.array([i for i, _ in rows], pa.int64()), "text": pa.array([t for _, t in rows], pa.string())})

@@ -17,10 +17,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one with the smallest doc_id.
 
-    Near copies have five-word shingles of a Jaccard similarity of 0.8 or more, all of them
-    are found: at that similarity SimHashes differ by some 10 of 64 bits and often by more.
+    Near copies have five-word shingles of a Jaccard similarity of 0.8 or more. They are found
+    by SimHashes that differ by 12 of 64 bits or fewer, each pair verified on the shingles; those
+    whose SimHashes differ by more, as some do at that similarity, by the shingles themselves.
     """
-    return jaccard.jaccard_dedup(docs, width=5)
+    return jaccard.jaccard_dedup(docs, width=5, radius=12)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

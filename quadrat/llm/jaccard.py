@@ -1,12 +1,16 @@
-"""Near copies by exact Jaccard similarity of word shingles: prefix filtering, then verification.
+"""Near copies by SimHash, verified by exact Jaccard similarity of word shingles; prefix filtering finds the rest.
+
+Fingerprints of the same shingles are compared first (simhash.py), and the pairs within a radius
+verified on the whole sets. Similar sets may have fingerprints that differ in any number of bits,
+so what these pairs leave apart is looked for by prefix filtering, and nothing is lost by the radius.
 
 Sets that overlap by four fifths share one of the first fifth of their shingles in any order
 that is the same for all sets, so pairs are looked for only among sets that share one, and each
 is verified on the whole sets. The order is rarest first, by a bounded sample of documents; it
 decides the work and not the result. Equal sets are one set first.
 
-Of the sets that share a shingle, each is first paired with the first one before it that it may
-be similar to; only sets that these pairs, verified, leave apart are compared with all others,
+Of the sets that share a shingle and that SimHash has left apart, each is first paired with the
+first one before it that it may be similar to; only sets that these pairs, verified, leave apart are compared with all others,
 so a dense group gives a few pairs for each member.
 Pairs are left out only where bounds hold: of sizes, of places in the order, and of parities of
 the shingles in classes (two sets differ by at least as many shingles as parities). There are 512
@@ -27,6 +31,7 @@ from pyspark.sql import functions as F
 
 from quadrat.llm.components import components
 from quadrat.llm.memory import released
+from quadrat.llm.simhash import fingerprint, fingerprint_pairs
 from quadrat.runtime import materialize, ship
 
 SEED = 43
@@ -98,9 +103,9 @@ def _common(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shingle_sets(docs: DataFrame, width: int = 5, whole: bool = False) -> DataFrame:
-    """(doc_id, sig, n, bits, wide, tokens) of each row's set: its hash, size, parities and shingles.
+    """(doc_id, sig, fp, n, bits, wide, tokens) of each row's set: its hash, SimHash, size, parities and shingles.
 
-    tokens is the whole set, or only the rarest shingles that a similar set must share one of.
+    fp is of the whole text, a shingle's repeats included, and null with whole. tokens is the whole set, or only the rarest shingles that a similar set must share one of.
     """
     ship(docs.sparkSession)
     common, often = (np.zeros(0, np.int64),) * 2 if whole else _common(docs, width)
@@ -114,29 +119,30 @@ def shingle_sets(docs: DataFrame, width: int = 5, whole: bool = False) -> DataFr
     def first(found: np.ndarray) -> np.ndarray:
         return found if whole else ordered(found)[: len(found) + NUM * len(found) // -DEN + 1 if len(found) else 0]
 
-    def batch_of(ids: list, sets: list[np.ndarray]) -> pa.RecordBatch:
+    def batch_of(ids: list, sets: list[np.ndarray], prints: list) -> pa.RecordBatch:
         firsts = [first(s) for s in sets]
         ends = np.cumsum([0, *map(len, firsts)]).astype(np.int32)
         sigs = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
         tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(firsts)))
         bits = [parities(s, BITS) for s in sets]
         wide = [None if whole else parities(s, classes(len(s))) for s in sets]
-        return pa.record_batch({"doc_id": pa.array(ids, pa.int64()), "sig": pa.array(sigs), "n": pa.array(list(map(len, sets)), pa.int32()), "bits": pa.array(bits, pa.binary()), "wide": pa.array(wide, pa.binary()), "tokens": tokens})
+        return pa.record_batch({"doc_id": pa.array(ids, pa.int64()), "sig": pa.array(sigs), "fp": pa.array(prints, pa.uint64()).view(pa.int64()), "n": pa.array(list(map(len, sets)), pa.int32()), "bits": pa.array(bits, pa.binary()), "wide": pa.array(wide, pa.binary()), "tokens": tokens})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, sets, held = [], [], 0
+        ids, sets, prints, held = [], [], [], 0
         for batch in batches:
             for i, x in zip(batch.column(0), batch.column(1), strict=True):
                 ids.append(i.as_py())
                 sets.append(shingle_set(x.as_py(), width))
+                prints.append(None if whole else fingerprint(x.as_py(), width))
                 held += len(sets[-1])
                 if held >= CHUNK or len(sets) >= 4096:
-                    yield batch_of(ids, sets)
-                    ids, sets, held = [], [], 0
+                    yield batch_of(ids, sets, prints)
+                    ids, sets, prints, held = [], [], [], 0
         if sets:
-            yield batch_of(ids, sets)
+            yield batch_of(ids, sets, prints)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(released(run), "doc_id long, sig long, n int, bits binary, wide binary, tokens array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(released(run), "doc_id long, sig long, fp long, n int, bits binary, wide binary, tokens array<long>")
 
 
 def _pairs(batches: Iterator[pa.RecordBatch], stars: bool) -> Iterator[pa.RecordBatch]:
@@ -208,18 +214,19 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, ta
     return materialize(pairs.join(a, "u").join(b, "v").filter(similar).select(F.col("ru").alias("u"), F.col("rv").alias("v")), tag)
 
 
-def jaccard_dedup(docs: DataFrame, width: int = 5) -> DataFrame:
+def jaccard_dedup(docs: DataFrame, width: int = 5, radius: int = 12) -> DataFrame:
     """The rows of docs but those linked, also over others, to one with a smaller doc_id.
 
     Linked are texts whose sets of `width`-word shingles (a shorter text is one shingle, words
     as bytes in lower case) have a Jaccard similarity of at least NUM / DEN, texts without words
     among each other, and rows with the same doc_id. Rows without doc_id stay. All columns stay
-    as they are.
+    as they are. Texts whose SimHashes differ in radius bits or fewer are verified first; the
+    radius decides the work and not the result.
     """
     given = docs.select("doc_id", "text").filter("doc_id is not null")
     rows = materialize(shingle_sets(given, width), "jaccard-sets")
     same = [F.first(c).alias(c) for c in ("n", "bits", "wide", "tokens")]
-    reps = materialize(rows.groupBy("sig").agg(F.min("doc_id").alias("rep"), *same), "jaccard-reps")
+    reps = materialize(rows.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp"), *same), "jaccard-reps")
     token = Window.partitionBy("token")
     places = reps.select("sig", F.posexplode("tokens").alias("place", "token"))
     posted = places.withColumn("sets", F.count("*").over(token)).filter("sets > 1")
@@ -232,10 +239,12 @@ def jaccard_dedup(docs: DataFrame, width: int = 5) -> DataFrame:
         found = dealt.repartition("token").sortWithinPartitions("token").mapInArrow(released(functools.partial(_pairs, stars=stars)), "u long, v long")
         return _verified(materialize(found.distinct(), f"{tag}-pairs"), given, reps, width, tag)
 
-    near = linked(reps.select("sig", "n", F.col("sig").alias("label"), "bits"), posted, True)
-    found = components(near, "jaccard")
-    label = reps.join(found, reps.rep == found.id, "left").select("sig", "n", F.coalesce("component_id", "rep").alias("label"), "bits")
-    near = near.unionByName(linked(label, posted, False))
+    found = fingerprint_pairs(reps.select(F.col("sig").alias("id"), "fp", "n"), radius, (NUM, DEN))
+    near = _verified(materialize(found.distinct(), "jaccard-simhash-pairs"), given, reps, width, "jaccard-simhash")
+    for stars in (True, False):
+        found = components(near, "jaccard")
+        label = reps.join(found, reps.rep == found.id, "left").select("sig", "n", F.coalesce("component_id", "rep").alias("label"), "bits")
+        near = near.unionByName(linked(label, posted, stars))
     found = components(near, "jaccard-all")
     classes = materialize(reps.join(found, reps.rep == found.id, "left").select("sig", F.coalesce("component_id", "rep").alias("component_id")), "jaccard-classes")
     gone = rows.select("doc_id", "sig").join(classes, "sig").filter("component_id < doc_id").select("doc_id").distinct()

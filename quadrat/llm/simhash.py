@@ -5,11 +5,15 @@ fingerprints that differ in r bits have counts whose differences sum to r at mos
 pairs farther apart are skipped, and the others are compared whole with exclusive-or and bit
 counts. There are at most 17**4 tiles; a crowded tile is cut into blocks that are compared
 pairwise, so no task grows with a tile. Exact copies are one fingerprint before that.
+
+At a radius of many bits such tiles skip hardly any pair. fingerprint_pairs is for that: its tiles
+are made of the fingerprints' bit counts and of the sizes of what they stand for.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +32,9 @@ PARTS = 4
 BLOCK = 8192
 #: Edge of the square of pairs that numpy compares at a time.
 SQUARE = 1024
+#: The same two where fingerprints are compared at a wide radius.
+WIDE_BLOCK = 1 << 16
+WIDE_SQUARE = 256
 #: Shingles that are counted at a time.
 CHUNK = 1 << 16
 
@@ -181,6 +188,106 @@ def fingerprint_links(groups: DataFrame, radius: int) -> DataFrame:
     return rows.repartition("tile", "block").sortWithinPartitions("tile", "block", "role").mapInArrow(released(_compare(radius)), "u long, v long")
 
 
+def nearest_and_first(homes: list[tuple[np.ndarray, ...]], probe: tuple[np.ndarray, ...], radius: int, ratio: tuple[int, int], same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(u, v): each of probe with the first and with the nearest that homes have of it, by id.
+
+    homes is a list of squares, each and probe (fp, n, id, met). Only those count that differ in
+    radius bits or fewer and whose sizes n have the ratio num / den at least. With same, probe is
+    the last of homes, and its rows look only at those before them. met marks homes that are in
+    a pair; others get their nearest of probe, so every row with a partner is in a pair.
+    """
+    num, den = ratio
+    fp, n, who, _ = probe
+    least = np.full(len(fp), radius + 1, np.int64)
+    first, near = (np.full(len(fp), -1, np.int64) for _ in range(2))
+    ids = np.concatenate([h[2] for h in homes]) if homes else who
+    more: list[tuple[np.ndarray, np.ndarray]] = []
+    start = 0
+    for k, (hfp, hn, hid, met) in enumerate(homes):
+        at, start = start, start + len(hfp)
+        if hn.max() * den < n.min() * num or n.max() * den < hn.min() * num:
+            continue
+        differ = np.bitwise_count(hfp[:, None] ^ fp[None, :])
+        hit = differ <= radius
+        if same and k == len(homes) - 1:
+            hit &= np.arange(len(hfp))[:, None] < np.arange(len(fp))[None, :]
+        if not len(got := np.flatnonzero(hit.any(0))):
+            continue
+        low, high = np.minimum(hn[:, None], n[None, got]), np.maximum(hn[:, None], n[None, got])
+        differ = np.where(hit[:, got] & (low * den >= high * num), differ[:, got], radius + 1)
+        i = differ.argmin(0)
+        bits = differ[i, np.arange(len(got))]
+        fresh = (first[got] < 0) & (bits <= radius)
+        hit = differ <= radius
+        one = hit.argmax(0)[fresh]
+        first[got[fresh]] = at + one
+        met[one] = True
+        if same and k == len(homes) - 1:
+            met |= first >= 0
+        alone = np.flatnonzero(hit.any(1) & ~met)
+        more.append((hid[alone], who[got[differ[alone].argmin(1)]]))
+        met[alone] = True
+        better = bits < least[got]
+        least[got[better]], near[got[better]] = bits[better], at + i[better]
+    linked = np.flatnonzero(first >= 0)
+    if same:
+        homes[-1][3][linked] = True
+    other = linked[near[linked] != first[linked]]
+    u = [ids[first[linked]], ids[near[other]], *(x for x, _ in more)]
+    return np.concatenate(u), np.concatenate([who[linked], who[other], *(x for _, x in more)])
+
+
+def _wide(radius: int, ratio: tuple[int, int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by tile, block and role: the homes of a block, then those that visit it."""
+        key, homes = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            tile, block, role, n, fp, who = (c.to_numpy() for c in batch.columns)
+            fp, n = fp.view(np.uint64), n.astype(np.int64)
+            cut = np.flatnonzero(np.any([np.diff(c) != 0 for c in (tile, block, role)], axis=0)) + 1
+            for s, e in itertools.pairwise([0, *cut, batch.num_rows]):
+                if (tile[s], block[s]) != key:
+                    key, homes = (tile[s], block[s]), []
+                for at in range(s, e, WIDE_SQUARE):
+                    probe = tuple(c[at : min(at + WIDE_SQUARE, e)] for c in (fp, n, who))
+                    probe += (np.zeros(len(probe[0]), bool),)
+                    if role[s] == 0:
+                        homes.append(probe)
+                    u, v = nearest_and_first(homes, probe, radius, ratio, bool(role[s] == 0))
+                    if len(u):
+                        yield pa.record_batch({"u": pa.array(np.minimum(u, v)), "v": pa.array(np.maximum(u, v))})
+
+    return run
+
+
+def fingerprint_pairs(groups: DataFrame, radius: int, ratio: tuple[int, int]) -> DataFrame:
+    """(u, v), u < v: ids of groups (id long, fp long, n int) within radius bits, each a true pair.
+
+    n is the size of what a fingerprint stands for; only sizes with the ratio num / den at least
+    are paired. Tiles are made of the logarithm of n and of the bit count, in steps such that all
+    partners are in a tile or beside it; a crowded tile is cut into blocks. Of its partners in a
+    block each row gets the first and the nearest, so a dense group gives a few pairs for each
+    member, and every row that has a partner is in a pair. Pairs may come more than once.
+    """
+    wide = 65  # bit counts, and so tiles of a size
+    band = F.floor(F.log(F.col("n").cast("double")) / (math.log(ratio[1] / ratio[0]) + 1e-9))
+    code = lambda by, bits: ((F.col("band") + by) * (wide + 2) + F.col("count") + bits).cast("int")
+    placed = groups.filter("n > 0").select("id", "fp", F.col("n").cast("int").alias("n"), band.alias("band"), (F.floor(F.bit_count("fp") / (radius + 1)) + 1).alias("count"))
+    placed = placed.withColumn("tile", code(0, 0))
+    tiles = materialize(placed.groupBy("tile").agg(F.ceil(F.count("*") / WIDE_BLOCK).cast("int").alias("blocks")), "simhash-wide-tiles")
+    placed = placed.join(F.broadcast(tiles), "tile").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    own = placed.select("tile", "block", F.lit(0).alias("role"), "n", "fp", "id")
+    inside = placed.filter("blocks > 1").select("tile", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "block", "n", "fp", "id")
+    inside = inside.filter("other > block").select("tile", F.col("other").alias("block"), F.lit(1).alias("role"), "n", "fp", "id")
+    beside = F.explode(F.array(*[code(*step) for step in ((0, 1), (1, -1), (1, 0), (1, 1))])).alias("tile")
+    moved = placed.select(beside, "n", "fp", "id").join(F.broadcast(tiles), "tile")
+    moved = moved.select("tile", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "n", "fp", "id")
+    rows = own.unionByName(inside).unionByName(moved)
+    return rows.repartition("tile", "block").sortWithinPartitions("tile", "block", "role", "n").mapInArrow(released(_wide(radius, ratio)), "u long, v long")
+
+
 def simhash_components(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
     """doc_id, fingerprint (16 lower-case hex digits), component_id of every row of docs.
 

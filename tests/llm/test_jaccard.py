@@ -63,3 +63,18 @@ def test_repeated_ids_and_empty(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in jaccard.jaccard_dedup(df).collect()) == [4, 4]
     assert jaccard.jaccard_dedup(df.limit(0)).count() == 0
+
+
+def test_stage_finds_near_copies_by_simhash(spark, monkeypatch):
+    def nothing(batches, stars):
+        yield from ()
+
+    monkeypatch.setattr(jaccard, "_pairs", nothing)
+    test_pipeline_stage_finds_near_copies(spark)
+
+
+def test_any_radius_finds_all(spark):
+    rows = corpus(7)
+    df = spark.createDataFrame([r for r in rows if r[0] is not None], "doc_id long, text string").repartition(3)
+    for radius in (0, 20):
+        assert {r.doc_id for r in jaccard.jaccard_dedup(df, radius=radius).collect()} == kept(rows)

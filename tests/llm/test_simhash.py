@@ -74,3 +74,20 @@ def test_components_of_chains_and_stars(spark, monkeypatch, local):
     df = spark.createDataFrame(edges, "u long, v long").repartition(7)
     got = {r.id: r.component_id for r in components.components(df, "t").collect()}
     assert got == {**{i: 0 for i in range(1, 41)}, **{i: 100 for i in range(101, 160)}, 201: 200}
+
+
+@pytest.mark.parametrize(("block", "square"), [(1 << 16, 256), (16, 7)])
+def test_wide_pairs_are_true_and_every_partner_is_met(spark, monkeypatch, block, square):
+    monkeypatch.setattr(simhash, "WIDE_BLOCK", block)
+    monkeypatch.setattr(simhash, "WIDE_SQUARE", square)
+    r = random.Random(4)
+    centres = [r.getrandbits(64) for _ in range(12)] + [0, (1 << 64) - 1]
+    rows = [(i, r.choice(centres), r.choice([0, 1, 4, 5, 80, 99, 100, 125, 126])) for i in range(400)]
+    rows = [(i, fp ^ sum(1 << b for b in r.sample(range(64), r.randint(0, 9))), n) for i, fp, n in rows] + [(1000 + i, centres[0], 7) for i in range(60)]
+    df = spark.createDataFrame([(i, fp - (fp >> 63 << 64), n) for i, fp, n in rows], "id long, fp long, n int").repartition(5)
+    true = {(a, b) for a, x, m in rows for b, y, n in rows if a < b and m and n and (x ^ y).bit_count() <= 12 and 5 * min(m, n) >= 4 * max(m, n)}
+    got = [tuple(x) for x in simhash.fingerprint_pairs(df, 12, (4, 5)).collect()]
+    assert set(got) <= true
+    assert {x for p in got for x in p} == {x for p in true for x in p}
+    if block > len(rows):
+        assert sum(a >= 1000 and b >= 1000 for a, b in got) < 2 * 60

@@ -10,11 +10,12 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import string
 import unicodedata
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator, Sequence
 from itertools import chain
 
 import numpy as np
@@ -33,15 +34,18 @@ SEQUENCE = 2048
 ROWS = 256
 #: Documents of a file, about.
 FILE_DOCS = 16384
-#: Bytes that the kept words and their ids take, about; a fuller cache starts anew.
+#: Bytes that the kept pieces and their ids take, about; a fuller cache starts anew.
 CACHE_BYTES = 32_000_000
-#: What an entry takes besides its characters and ids: a string, bytes, and its place in a dict.
-ENTRY_BYTES = 190
-#: Characters of text that are encoded at a time, whole texts at least.
-BATCH = 1_000_000
-#: Words of letters before this one are cut from punctuation: all tables have them as letters.
-BEYOND = "\u0250"
+#: What an entry takes besides its characters and ids: two offsets and, while pieces are looked up, a copy in a hash table.
+ENTRY_BYTES = 100
+#: Characters of text that are encoded at a time, whole texts at least; each time makes a hash table of what is kept.
+BATCH = 4_000_000
+#: Characters that the library gets at a time, whole texts at least: it takes far more memory than the ids.
+LIBRARY = 250_000
 DOTTED = "İ"
+#: Letters that are cut from punctuation behind them: all tables have them as letters.
+LETTERS = "".join(c for c in map(chr, range(0x250)) if c.isalpha() and c != DOTTED)
+TAILED = f"^(?P<core>[{LETTERS}]+)(?P<tail>[{re.escape(string.punctuation)}]*)$"
 # How the tokenizers that this is for normalise texts and cut them.
 STEPS = (
     {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
@@ -64,21 +68,20 @@ _loaded: dict[str, WordEncoder] = {}
 
 
 class WordEncoder:
-    """Encodes whole texts with a tokenizer that drops white space, and keeps words' ids.
+    """Encodes whole texts with a tokenizer that drops white space, and keeps the ids of pieces.
 
     As the tokenizer's pre-tokenizer never joins characters across white space, a text's ids
     are those of its words in order. Words are looked up as the tokenizer normalises them: in
-    composed form and lower case. A word of Latin letters with punctuation behind it is two
-    pre-tokens. The tokenizers library encodes all that isn't kept: letters in one string for
-    many words, with a digit, which is a pre-token of its own, between them; words of other
-    kinds, such as letters that composition takes apart, go to it as they are. Texts with
+    composed form and lower case, each different one of a batch once, all in Arrow columns. A
+    word of Latin letters with punctuation behind it is two pre-tokens, and two pieces; others
+    are one piece. The tokenizers library encodes the pieces that aren't kept: letters in one
+    string for many, with a digit, which is a pre-token of its own, between them; pieces of
+    other kinds, such as letters that composition takes apart, go to it as they are. Texts with
     characters at which Python but not the tokenizer splits, or with the text of one of its
     added tokens in any case, go to it whole, and so do all texts for a tokenizer that doesn't
     normalise and cut as STEPS say.
     """
 
-    TAIL = string.punctuation
-
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are parallel already
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
@@ -93,64 +96,88 @@ class WordEncoder:
         self.speller.normalizer = normalizers.Sequence([])
         self.speller.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("0", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         (self.between,) = self.tokenizer.encode("0", add_special_tokens=False).ids
-        self.words: dict[str, bytes] = {}
-        self.held = 0
+        self.forget()
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, self.dtype).tobytes() for e in encoded]
-
-    def _spell(self, letters: list[str]) -> None:
-        width = np.dtype(self.dtype).itemsize
+        found: list[bytes] = []
+        for at, to in spans([len(t) for t in texts], LIBRARY):
+            encoded = self.tokenizer.encode_batch_fast(texts[at:to], add_special_tokens=False)
+            found += [np.array(e.ids, self.dtype).tobytes() for e in encoded]
+        return found
+
+    def _spell(self, letters: pa.Array) -> pa.Array:
+        flat, bounds = [np.array([], self.dtype)], [np.zeros(1, np.int64)]
         for at in range(0, len(letters), 4096):
             group = letters[at : at + 4096]
-            joined = ["0".join(group[i : i + JOINED]) for i in range(0, len(group), JOINED)]
-            flat: list[int] = []
-            for e in self.speller.encode_batch_fast(joined, add_special_tokens=False):
-                flat += e.ids
-                flat.append(self.between)
-            ids = np.array(flat, self.dtype)
-            ends = (np.flatnonzero(ids == self.between) * width).tolist()
-            raw, start = ids.tobytes(), 0
-            for word, end in zip(group, ends, strict=True):
-                self.words[word] = raw[start:end]
-                start = end + width
-            self.held += len(raw) + sum(map(len, group)) + ENTRY_BYTES * len(group)
-
-    def _keep(self, words: list[str], ids: Iterable[bytes]) -> None:
-        for word, found in zip(words, ids, strict=True):
-            self.words[word] = found
-            self.held += ENTRY_BYTES + len(word) + len(found)
+            lists = pa.ListArray.from_arrays([*range(0, len(group), JOINED), len(group)], group)
+            read: list[int] = []
+            for e in self.speller.encode_batch_fast(pc.binary_join(lists, pa.scalar("0", pa.large_string())).to_pylist(), add_special_tokens=False):
+                read += e.ids
+                read.append(self.between)
+            ids = np.array(read, self.dtype)
+            between = ids == self.between
+            ends = np.flatnonzero(between)
+            if len(ends) != len(group):
+                raise ValueError(f"{len(group)} words, ids of {len(ends)}")
+            flat.append(ids[~between])
+            bounds.append(bounds[-1][-1] + ends - np.arange(len(ends)))
+        offsets = np.concatenate(bounds) * np.dtype(self.dtype).itemsize
+        return pa.Array.from_buffers(pa.large_binary(), len(letters), [None, pa.py_buffer(offsets), pa.py_buffer(np.concatenate(flat))])
+
+    def _learn(self, pieces: pa.Array) -> None:
+        """Keep the ids of pieces that aren't kept yet."""
+        plain = pc.match_substring_regex(pieces, f"^[{LETTERS}]+$")
+        letters, other = pieces.filter(plain), pieces.filter(pc.invert(plain))
+        self.pieces = pa.concat_arrays([self.pieces, letters, other])
+        self.ids = pa.concat_arrays([self.ids, self._spell(letters), pa.array(self._library(other.to_pylist()), pa.large_binary())])
 
     def forget(self) -> None:
-        self.words, self.held = {}, 0
+        self.pieces, self.ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
+
+    def _of_pieces(self, pieces: pa.Array) -> pa.Array:
+        places = pc.index_in(pieces, value_set=self.pieces)
+        if places.null_count:
+            fresh, known = pieces.filter(places.is_null()), len(self.pieces)
+            self._learn(fresh)
+            again = pc.add(pc.index_in(fresh, value_set=self.pieces.slice(known)), pa.scalar(known, pa.int32()))
+            places = pc.replace_with_mask(places, places.is_null(), again)
+        return self.ids.take(places)
+
+    def _of_words(self, words: pa.Array) -> pa.Array:
+        parts = pc.extract_regex(words, TAILED)
+        pieces = pa.concat_arrays([pc.coalesce(pc.struct_field(parts, "core"), words), pc.coalesce(pc.struct_field(parts, "tail"), pa.scalar("", pa.large_string()))])
+        distinct = pieces.dictionary_encode()
+        ids, places = self._of_pieces(distinct.dictionary), distinct.indices
+        return pc.binary_join_element_wise(ids.take(places[: len(words)]), ids.take(places[len(words) :]), pa.scalar(b"", pa.large_binary()))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if not self.by_words:
+        if not self.by_words or not texts:
             return self._library(texts)
-        if self.held > CACHE_BYTES:
+        if self.pieces.nbytes + self.ids.nbytes + ENTRY_BYTES * len(self.ids) > CACHE_BYTES:
             self.forget()
-        words = self.words
         plain = list(map(normalised, texts))
-        whole = {i for i, t in enumerate(plain) if not t.isprintable() and any(c in t for c in SEPARATORS) or any(x in t for x in self.added)}
-        split = [[] if i in whole else t.split() for i, t in enumerate(plain)]
-        new = set(chain.from_iterable(split)).difference(words)
-        letters, tailed, other = [], [], []
-        for word in new:
-            if word.isalpha():
-                (letters if word.isascii() or max(word) < BEYOND and DOTTED not in word else other).append(word)
-                continue
-            core = word.rstrip(self.TAIL)
-            if core.isalpha() and max(core) < BEYOND and DOTTED not in core:
-                tailed.append((word, core, word[len(core) :]))
-            else:
-                other.append(word)
-        self._spell([*letters, *{c for _, c, _ in tailed}.difference(words, letters)])
-        ends = {t for _, _, t in tailed}.difference(words)
-        self._keep([*ends, *other], self._library([*ends, *other]))
-        self._keep([w for w, _, _ in tailed], [words[c] + words[t] for _, c, t in tailed])
-        get = words.__getitem__
-        return [self._library([t])[0] if i in whole else b"".join(map(get, s)) for i, (t, s) in enumerate(zip(texts, split, strict=True))]
+        whole = [i for i, t in enumerate(plain) if not t.isprintable() and any(c in t for c in SEPARATORS) or any(x in t for x in self.added)]
+        for i in whole:
+            plain[i] = ""
+        split = pc.utf8_split_whitespace(pa.array(plain, pa.large_string()))
+        words = split.flatten().dictionary_encode()
+        ids = self._of_words(words.dictionary).take(words.indices)
+        _, ends, raw = ids.buffers()
+        ends = np.frombuffer(ends, np.int64)[split.offsets.to_numpy()].tolist()
+        raw = memoryview(raw or b"")
+        found = [bytes(raw[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+        for i, t in zip(whole, self._library([texts[i] for i in whole]), strict=True):
+            found[i] = t
+        return found
+
+
+def spans(sizes: Sequence[int] | np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of entries whose sizes add up to so much at most, but one entry at least."""
+    ends, to = np.cumsum(sizes), 0
+    while to < len(ends):
+        at = to
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        yield at, to
 
 
 def normalised(text: str) -> str:
@@ -185,11 +212,8 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int | None, b
         end = b"" if end_id is None else np.array([end_id], enc.dtype).tobytes()
         width = np.dtype(enc.dtype).itemsize
         for batch in batches:
-            sizes = np.cumsum(pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
-            at, to = 0, 0
-            while to < batch.num_rows:
-                at = to
-                to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + BATCH, side="right")))
+            sizes = pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+            for at, to in spans(sizes, BATCH):
                 part = batch.slice(at, to - at)
                 ids = [x + end for x in enc.encode([t or "" for t in part.column(1).to_pylist()])]
                 keys = pc.fill_null(part.column(0), -(1 << 63)).to_numpy(zero_copy_only=False)

@@ -57,6 +57,35 @@ def test_added_tokens_in_any_case_and_full_caches(monkeypatch):
         assert np.frombuffer(ids, enc.dtype).tolist() == lib.encode(text, add_special_tokens=False).ids, text
 
 
+def test_letters_are_spelled_once_whatever_stands_behind_them():
+    enc, lib, r = tokens.WordEncoder(PATH), Tokenizer.from_file(PATH), random.Random(5)
+    speller, spelled = enc.speller, []
+
+    class Counted:
+        def encode_batch_fast(self, joined, **options):
+            spelled.extend(w for s in joined for w in s.split("0"))
+            return speller.encode_batch_fast(joined, **options)
+
+    enc.speller = Counted()
+    words = sorted({"".join(r.choices("abcdefghé", k=9)) for _ in range(80_000)})
+    groups = [words[at : at + 8_000] for at in range(0, len(words), 8_000)]
+    texts = [t for g in groups for t in (" ".join(g), ". ".join(g) + ".", ", ".join(g) + "?!")]
+    for _ in range(2):
+        for text in texts:
+            (ids,) = enc.encode([text])
+            assert len(ids) // 2 >= len(text.split())
+    assert len(spelled) == len(words)
+    assert np.frombuffer(ids, enc.dtype).tolist() == lib.encode(text, add_special_tokens=False).ids
+
+
+def test_white_space_of_every_kind():
+    enc, lib = tokens.WordEncoder(PATH), Tokenizer.from_file(PATH)
+    kinds = [c for c in map(chr, range(0x110000)) if c.isspace() or unicodedata.category(c) in ("Cc", "Cf", "Zs", "Zl", "Zp")]
+    texts = [f"{c}a{c}{c}b.{c}" for c in kinds]
+    for text, ids in zip(texts, enc.encode(texts), strict=True):
+        assert np.frombuffer(ids, enc.dtype).tolist() == lib.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_files_have_equal_sequences(spark, tmp_path):
     df = spark.createDataFrame([(i, "some words here " * i) for i in range(50)], "doc_id long, text string")
     bounds = tokens.file_bounds(df, 20)

@@ -13,9 +13,10 @@ import base64
 import hashlib
 import heapq
 import re
+import string
 from array import array
 from collections.abc import Iterator
-from itertools import chain, filterfalse
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,19 +26,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrat.llm.memory import released
+from quadrat.llm.tokens import ENTRY_BYTES, LETTERS, spans
 from quadrat.runtime import ship
 
-#: Bytes that the kept words and their ids take, about; a fuller cache starts anew.
-CACHE_BYTES = 24_000_000
-#: What an entry takes besides its characters and ids: a string, bytes, and its place in a dict.
-ENTRY_BYTES = 190
-#: Characters of text that are encoded at a time, whole texts at least.
-BATCH = 500_000
+#: Bytes that the kept pieces and their ids take, about; a fuller cache starts anew.
+CACHE_BYTES = 32_000_000
+#: Characters of text that are encoded at a time, whole texts at least; each time makes a hash table of what is kept.
+BATCH = 4_000_000
+#: Bytes of pre-tokens that are merged in one queue, whole pre-tokens at least.
+MERGED = 500_000
+#: The pattern by which letters, and punctuation behind them, are a pre-token each.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_TAILED = f"^(?P<core> ?[{LETTERS}]+)(?P<tail>[{re.escape(string.punctuation)}]*)$"
 _SPACE = r"\t-\r \x85\xa0  -     　"
-_ODD = re.compile(r" (?=\s|$)|[\x1c-\x1f]")
+_ODD = f" (?:[{_SPACE}\\x1c-\\x1f]|\\z)"
 _CUT = re.compile(r" (?=[^\s])")
 
 
+def joined(values: pa.Array, starts: np.ndarray) -> pa.Array:
+    """The concatenated values from each start to the next, in the same buffer."""
+    _, offsets, raw = values.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[values.offset + starts] if len(values) else np.zeros(len(starts), np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(offsets), raw or pa.py_buffer(b"")])
+
+
 class RankQueue:
     """Buckets of positions by rank; pop() gives the smallest rank and all its positions.
 
@@ -106,11 +118,12 @@ class Bpe:
         order = np.argsort(np.frombuffer(keys, np.int64), kind="stable")
         self.keys = np.frombuffer(keys, np.int64)[order]
         self.values = np.append(np.frombuffer(values, np.int32)[order], -1).astype(np.int64)
-        self.parts: list[bytes] = [b""] * self.size
+        parts: list[bytes] = [b""] * self.size
         for t, r in ranks.items():
-            self.parts[r] = t
-        self.words: dict[str, bytes] = {}
-        self.held = 0
+            parts[r] = t
+        self.parts = pa.array(parts, pa.large_binary())
+        self.by_words = pattern == WORDS
+        self.forget()
 
     @classmethod
     def load(cls, path: str, pattern: str) -> Bpe:
@@ -226,67 +239,107 @@ class Bpe:
             i = after[i]
         return out.tobytes()
 
-    def _segments(self, text: str) -> list[str]:
-        """A space before what isn't white space always begins a pre-token: cut there."""
-        return text.split(" ") if _ODD.search(text) is None else _CUT.split(text)
+    def forget(self) -> None:
+        self.kept, self.ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
+
+    def _learn(self, pieces: pa.Array) -> None:
+        """Keep the ids of pre-tokens that aren't kept yet."""
+        raw = pieces.cast(pa.large_binary()).to_pylist()
+        ids = [None if (r := self.ranks.get(b)) is None else r.to_bytes(4, "little") for b in raw]
+        rest = [i for i, x in enumerate(ids) if x is None]
+        for at, to in spans([len(raw[i]) for i in rest], MERGED):
+            for i, x in zip(rest[at:to], self.merge([raw[i] for i in rest[at:to]]), strict=True):
+                ids[i] = x
+        self.kept = pa.concat_arrays([self.kept, pieces])
+        self.ids = pa.concat_arrays([self.ids, pa.array(ids, pa.large_binary())])
+
+    def _of_pieces(self, pieces: pa.Array) -> pa.Array:
+        """The ids of pre-tokens."""
+        coded = pieces.dictionary_encode()
+        distinct = coded.dictionary
+        places = pc.index_in(distinct, value_set=self.kept)
+        if places.null_count:
+            fresh, known = distinct.filter(places.is_null()), len(self.kept)
+            self._learn(fresh)
+            places = pc.replace_with_mask(places, places.is_null(), pa.array(np.arange(known, known + len(fresh)), pa.int32()))
+        return self.ids.take(places.take(coded.indices))
+
+    def _of_words(self, words: pa.Array) -> pa.Array:
+        """The ids of words with the space before them, if any."""
+        cores, tails = pa.nulls(len(words), words.type), pa.nulls(len(words), words.type)
+        if self.by_words:
+            parts = pc.extract_regex(words, _TAILED)
+            cores, tails = pc.struct_field(parts, "core"), pc.struct_field(parts, "tail")
+        other = cores.is_null()
+        cut = list(map(self.pieces, words.filter(other).to_pylist()))
+        starts = np.cumsum([0, *map(len, cut)])
+        cores, tails = cores.drop_null(), tails.drop_null()
+        n = len(cores)
+        ids = self._of_pieces(pa.concat_arrays([cores, tails, pa.array(chain.from_iterable(cut), words.type)]))
+        whole = pa.concat_arrays([pc.binary_join_element_wise(ids[:n], ids[n : 2 * n], pa.scalar(b"", pa.large_binary())), joined(ids[2 * n :], starts)])
+        return whole.take(pa.array(np.argsort(np.argsort(other.to_numpy(zero_copy_only=False), kind="stable"))))
+
+    def _words(self, texts: pa.Array) -> tuple[pa.Array, pa.Array, np.ndarray, pa.Array]:
+        """Different words, the place among them of each word of texts, where texts begin, their order.
+
+        A space before what isn't white space always begins a pre-token: cut there. The first
+        word of a text has no space before it.
+        """
+        odd = pc.match_substring_regex(texts, _ODD)
+        split = pc.split_pattern(texts.filter(pc.invert(odd)), " ")
+        cut = list(map(_CUT.split, texts.filter(odd).to_pylist()))
+        words = pa.concat_arrays([split.flatten(), pa.array(chain.from_iterable(cut), pa.large_string())])
+        starts = np.cumsum([0, *np.diff(split.offsets.to_numpy()).tolist(), *map(len, cut)])
+        del split, cut
+        first = np.zeros(len(words), bool)
+        first[starts[:-1]] = True
+        heads, rest = words.filter(pa.array(first)).dictionary_encode(), words.filter(pa.array(~first)).dictionary_encode()
+        spaced = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), rest.dictionary, pa.scalar(" ", pa.large_string()))
+        places = np.empty(len(words), np.int32)
+        places[~first] = rest.indices.to_numpy()
+        places[first] = heads.indices.to_numpy() + len(spaced)
+        order = np.argsort(np.argsort(odd.to_numpy(zero_copy_only=False), kind="stable"))
+        return pa.concat_arrays([spaced, heads.dictionary]), pa.array(places), starts, pa.array(order)
+
+    def encode_array(self, texts: pa.Array) -> pa.Array:
+        """The ids of whole texts, none null, as little-endian unsigned 32-bit integers.
+
+        Each different word is looked up once. Letters with punctuation behind them are two
+        pre-tokens, so that letters are kept once whatever stands behind them; other words are
+        cut by the pattern. Pre-tokens that aren't kept are merged together.
+        """
+        if self.kept.nbytes + self.ids.nbytes + ENTRY_BYTES * len(self.ids) > CACHE_BYTES:
+            self.forget()
+        words, places, starts, order = self._words(texts.cast(pa.large_string()))
+        return joined(self._of_words(words).take(places), starts).take(order)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of whole texts, as little-endian unsigned 32-bit integers.
+        """The ids of each text, as in encode_array."""
+        return self.encode_array(pa.array(texts, pa.large_string())).to_pylist()
 
-        Words that are not among those kept are cut into pre-tokens, which are merged together.
-        """
-        if self.held > CACHE_BYTES:
-            self.forget()
-        words, pieces = self.words, self.pieces
-        known: dict[str, bytes] = {}
-        fresh: dict[str, list[str]] = {}
-        heads = []
-        for text in texts:
-            segments = self._segments(text)
-            heads.append(pieces(segments[0]))
-            del segments[0]
-            fresh.update(dict.fromkeys(filterfalse(words.__contains__, segments)))
-        for word in fresh:
-            fresh[word] = pieces(" " + word)
-        new = list(dict.fromkeys(chain(chain.from_iterable(heads), chain.from_iterable(fresh.values()))))
-        raw = [p.encode() for p in new]
-        whole = [self.ranks.get(b) for b in raw]
-        known.update((p, r.to_bytes(4, "little")) for p, r in zip(new, whole, strict=True) if r is not None)
-        rest = [i for i, r in enumerate(whole) if r is None]
-        known.update(zip([new[i] for i in rest], self.merge([raw[i] for i in rest]), strict=True))
-        get = known.__getitem__
-        for word, cut in fresh.items():
-            words[word] = ids = b"".join(map(get, cut))
-            self.held += ENTRY_BYTES + len(word) + len(ids)
-        get_word = words.__getitem__
-        return [b"".join(map(get, head)) + b"".join(map(get_word, self._segments(text)[1:])) for head, text in zip(heads, texts, strict=True)]
-
-    def batches(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    def decode_array(self, ids: pa.Array) -> pa.Array:
+        """The bytes that ids stand for."""
+        _, offsets, raw = ids.buffers()
+        starts = np.frombuffer(offsets, np.int64)[ids.offset : ids.offset + len(ids) + 1] // 4 if len(ids) else np.zeros(1, np.int64)
+        flat = np.frombuffer(raw or b"", "<u4")[starts[0] : starts[-1]]
+        return joined(self.parts.take(pa.array(flat)), starts - starts[0])
+
+    def decode(self, ids: bytes) -> bytes:
+        return self.decode_array(pa.array([ids], pa.large_binary()))[0].as_py()
+
+    def batches(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
         """Slices of batches (doc_id, text) of about BATCH characters, with their ids.
 
         What is kept goes in the end, so that a worker's memory is free for other tasks.
         """
         try:
             for batch in batches:
-                yield from self._slices(batch)
+                texts = pc.fill_null(batch.column(1), "")
+                for at, to in spans(pc.utf8_length(texts).to_numpy(), BATCH):
+                    yield batch.slice(at, to - at), self.encode_array(texts.slice(at, to - at))
         finally:
             self.forget()
 
-    def forget(self) -> None:
-        self.words, self.held = {}, 0
-
-    def _slices(self, batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-        sizes = np.cumsum(pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
-        at = 0
-        while at < batch.num_rows:
-            end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + BATCH, side="right")))
-            part = batch.slice(at, end - at)
-            yield part, self.encode([x or "" for x in part.column(1).to_pylist()])
-            at = end
-
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.parts.__getitem__, array("I", ids)))
-
 
 _loaded: dict[tuple[str, str], Bpe] = {}
 
@@ -297,6 +350,14 @@ def loaded(path: str, pattern: str) -> Bpe:
     return _loaded[path, pattern]
 
 
+def counts(ids: pa.Array) -> pa.Array:
+    return pa.array(pc.binary_length(ids).to_numpy() // 4, pa.int64())
+
+
+def digests(values: pa.Array) -> pa.Array:
+    return pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in values], pa.string())
+
+
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids, decoded of every row of docs, encoded whole and decoded again.
 
@@ -311,9 +372,9 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFram
         for part, ids in bpe.batches(batches):
             yield pa.record_batch({
                 "doc_id": part.column(0),
-                "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()),
-                "ids": pa.array(ids, pa.binary()),
-                "decoded": pa.array([bpe.decode(x) for x in ids], pa.binary()),
+                "n_tokens": counts(ids),
+                "ids": ids.cast(pa.binary()),
+                "decoded": bpe.decode_array(ids).cast(pa.binary()),
             })
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(released(run), "doc_id long, n_tokens long, ids binary, decoded binary")
@@ -328,13 +389,12 @@ def encoding_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(ranks_path, pattern)
-        digest = lambda x: hashlib.sha256(x).hexdigest()
         for part, ids in bpe.batches(batches):
             yield pa.record_batch({
                 "doc_id": part.column(0),
-                "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()),
-                "ids_sha256": pa.array(map(digest, ids), pa.string()),
-                "decoded_sha256": pa.array([digest(bpe.decode(x)) for x in ids], pa.string()),
+                "n_tokens": counts(ids),
+                "ids_sha256": digests(ids),
+                "decoded_sha256": digests(bpe.decode_array(ids)),
             })
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(released(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

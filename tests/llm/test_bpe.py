@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import random
+import unicodedata
 
 import numpy as np
 import public_tokenizers
@@ -51,3 +52,32 @@ def test_query_rows(spark):
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
     whole = bpe.encode_documents(df, PATH, public_tokenizers.PATTERN).collect()
     assert {bytes(r.decoded) for r in whole} == {b"Hello  world", b"", b"x y"}
+
+
+def test_letters_are_merged_once_whatever_stands_behind_them():
+    own, other, r = bpe.Bpe.load(PATH, public_tokenizers.PATTERN), library(), random.Random(6)
+    merge, merged = own.merge, []
+
+    def counted(pieces):
+        merged.extend(pieces)
+        return merge(pieces)
+
+    own.merge = counted
+    words = sorted({"".join(r.choices("abcdefghé", k=9)) for _ in range(80_000)})
+    groups = [words[at : at + 8_000] for at in range(0, len(words), 8_000)]
+    texts = [t for g in groups for t in (" " + " ".join(g), " " + ". ".join(g) + ".", " " + ", ".join(g) + "?!")]
+    for _ in range(2):
+        for text in texts:
+            (ids,) = own.encode([text])
+            assert np.frombuffer(ids, "<u4").tolist() == other.encode_ordinary(text)
+    assert len([p for p in merged if p.startswith(b" ")]) <= len(words)
+
+
+def test_white_space_of_every_kind():
+    own, other = bpe.Bpe.load(PATH, public_tokenizers.PATTERN), library()
+    kinds = [c for c in map(chr, range(0x110000)) if c.isspace() or unicodedata.category(c) in ("Cc", "Cf", "Zs", "Zl", "Zp")]
+    texts = [t for c in kinds for t in (f"{c}a{c}{c}b.{c}", f" a {c}b, {c} c.{c}", f"A {c}")] + ["", " ", "a's. b'll, don't.", "é.'s"]
+    for text, ids in zip(texts, own.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == other.encode_ordinary(text), repr(text)
+        assert own.decode(ids) == text.encode()
+    assert own.encode([]) == []

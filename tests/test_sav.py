@@ -255,3 +255,32 @@ def test_batch_reader(tmp_path):
     assert SavBatchReader(path).limit(7).collect_single().column(0).to_pylist() == [float(i) for i in range(7)]
     empty = SavBatchReader(path, columns=[1]).limit(0).collect_single()
     assert empty.num_rows == 0 and empty.schema.names == ["s"]
+
+
+@pytest.mark.parametrize("codec", CODECS)
+def test_batches_are_full_wherever_the_stream_is_cut(tmp_path, codec, monkeypatch):
+    path = str(tmp_path / "long.sav")
+    write_sav(path, [Column("a", [i + 0.5 for i in range(1000)]), Column("s", [f"v{i}" for i in range(1000)], 5)], codec, block=256)
+    monkeypatch.setattr("quadrat.sources.codec.CHUNK", 640)
+    monkeypatch.setattr("quadrat.sources.codec.FIRST_CHUNK", 640, raising=False)
+    reader = SavBatchReader(path, batch_size=64)
+    found = list(reader)
+    assert [b.num_rows for b in found] == [64] * 15 + [40] and [b.column(0)[0].as_py() for b in found] == [64 * k + 0.5 for k in range(16)]
+    assert [b.num_rows for b in SavBatchReader(path, batch_size=64, n_rows=130)] == [64, 64, 2]
+
+
+@pytest.mark.parametrize("codec", CODECS)
+def test_a_span_reads_its_own_bytes_and_spans_are_few(tmp_path, codec, monkeypatch):
+    from quadrat.sources.codec import plan, read_slots, stream
+    from quadrat.sources.dictionary import read_dictionary
+
+    path = str(tmp_path / "spans.sav")
+    write_sav(path, [Column("a", [i + 0.5 for i in range(5000)]), Column("s", [f"v{i}" for i in range(5000)], 5)], codec, block=512)
+    d = read_dictionary(path)
+    spans = plan(d, None, 100)
+    assert 100 < len(spans) <= 300 and sum(s.rows or 0 for s in spans[:-1]) == spans[-1].first_row
+    rows = [len(x) for s in spans for x in read_slots(d, s, 1000)]
+    assert sum(rows) == 5000
+    if codec != "none":
+        size = sum(map(len, stream(d)))
+        assert sum(len(p) for s in spans for p in stream(d, s.at, s.until)) <= size + 72 * len(spans)
